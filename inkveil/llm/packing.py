@@ -5,7 +5,8 @@ sequence; full pieces are sequences already. The rest wait in a bounded window.
 To fill a sequence, the longest waiting piece goes in, and dynamic programming
 over a bitset of reachable sums finds the multiset of the other lengths that
 comes closest to the capacity left; each length counts as often as it waits, in
-binary multiples, and stored bitsets give the chosen counts by walking back.
+binary multiples, and stored bitsets give the chosen counts by walking back. If
+too few pieces wait to come close, the shortest of them is cut to fill the rest.
 
 A partition packs its own rows, as sequences are independent, so there is no
 shuffle. What remains at its end is one part of a sequence at most a partition:
@@ -35,6 +36,8 @@ from inkveil.llm.common import prepare, spread
 CAPACITY = 4096
 #: Pieces that wait at once.
 WINDOW = 512
+#: Slack that no multiset can fill and that is worth cutting a waiting piece for.
+MAX_SLACK = 32
 END = 2
 
 SCHEMA = T.StructType(
@@ -92,11 +95,14 @@ class Packer:
             if len(part) == self.capacity:
                 yield from self._place([(len(part), (doc_id, start, part.tobytes(), n))])
             else:
-                self.waiting[len(part)].append((doc_id, start, part.tobytes(), n))
-                self.n, self.total = self.n + 1, self.total + len(part)
+                self._wait(len(part), (doc_id, start, part.tobytes(), n))
         while self.n > self.window:
             yield from self.sequence()
 
+    def _wait(self, length: int, piece: tuple) -> None:
+        self.waiting[length].append(piece)
+        self.n, self.total = self.n + 1, self.total + length
+
     def _take(self, length: int) -> tuple:
         queue = self.waiting[length]
         piece = queue.popleft()
@@ -111,6 +117,12 @@ class Packer:
         chosen = fill({n: len(q) for n, q in self.waiting.items()}, self.capacity - pieces[0][0])
         for length, k in chosen.items():
             pieces += [self._take(length) for _ in range(k)]
+        slack = self.capacity - sum(length for length, _ in pieces)
+        if slack > MAX_SLACK and self.waiting:
+            # Whatever still waits is longer than the slack, or it would have been chosen.
+            length, (doc_id, start, ids, doc_tokens) = self._take(min(self.waiting))
+            pieces.append((slack, (doc_id, start, ids[: 4 * slack], doc_tokens)))
+            self._wait(length - slack, (doc_id, start + slack, ids[4 * slack :], doc_tokens))
         yield from self._place(pieces)
 
     def finish(self) -> Iterator[tuple]:

@@ -119,10 +119,10 @@ def _near_key(folded: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1
 
 
-def _learn_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; classes weigh the same."""
+def _learn_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton steps; the classes weigh as they do among all labels: share is the toxic ones'."""
     x = np.c_[np.ones(len(x)), x]
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    each = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     w, ridge = np.zeros(3), np.diag([1e-5, 1e-4, 1e-4])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -163,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from labels' rows (id, 0 or 1), as many as PER_CLASS of each class."""
     prepare(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    labelled = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    share = labelled.get(1, 0) / max(1, sum(labelled.values()))
     picked = None
     for y in (0, 1):
         some = marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(PER_CLASS)
@@ -213,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = sorted(map(tuple, sample.filter("not half").select("y", "text").mapInArrow(signs, "y int, a double, b double").collect()))
     if len({y for y, _, _ in got}) == 2:
         x = np.array(got)
-        model.curve = _learn_curve(x[:, 1:], x[:, 0])
+        model.curve = _learn_curve(x[:, 1:], x[:, 0], share)
     else:
         model.curve = (-2.0, 1.0, 0.0)
     return Model(*_lexicon(counts, "bad", "good", size(1, True, False), size(0, True, False)), model.curve)
