@@ -129,6 +129,9 @@ def redact(
     has = source.words.groupBy(*PAGE).agg(F.lit(True).alias("has_text"))
     planned = plan_pages(source.pages.join(has, PAGE, "left").withColumn("has_text", F.coalesce("has_text", F.lit(False))), targets, options.mode)
     asked_any = provider is not None or any(r is not None for r in recorded)
+    can_see = recorded[1] is not None or source.images is not None
+    if asked_any and not can_see:  # without pictures there is nothing to show
+        planned = planned.withColumn("plan_vision", F.lit(False))
 
     options.progress("detect-patterns")
     found = detect_patterns(source.lines, targets)
@@ -154,7 +157,7 @@ def redact(
         found = found.unionByName(detections)
         warned.append(told.withColumn("ord", F.lit(0)).withColumn("stage", F.lit(2)))
         calls.append(requests.groupBy("doc_id").agg(F.count("*").alias("calls")))
-    if asked_any and options.mode in ("auto", "vision") and (provider or recorded[1] is not None):
+    if asked_any and options.mode in ("auto", "vision") and can_see and (provider or recorded[1] is not None):
         seen = planned.filter("plan_vision")
         options.progress("detect-vision")
         groups = [(seen, targets)] if options.mode == "vision" else [(seen.filter("has_text"), [t for t in targets if t.visual_only]), (seen.filter("not has_text"), targets)]
