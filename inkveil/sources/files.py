@@ -208,6 +208,25 @@ def load_images(files: DataFrame, decode: Callable[[bytes], np.ndarray] = raster
     return slim.mapInArrow(told, PAGES)
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Picture files as documents of one page, decoded by the JVM (PNG, JPEG, GIF, BMP): native size, on white paper."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, height, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                if channels == 1:
+                    px = np.repeat(px, 3, axis=2)
+                elif channels == 4:
+                    alpha = px[..., 3:].astype(np.uint16)
+                    px = ((px[..., :3] * alpha + 255 * (255 - alpha) + 127) // 255).astype(np.uint8)
+                image = raster.encode_png(np.ascontiguousarray(px[..., ::-1]))  # stored blue first
+                yield pa.RecordBatch.from_pydict({"doc_id": [origin], "page": pa.array([0], pa.int32()), "width": [float(width)], "height": [float(height)], "point_width": pa.array([None], pa.float64()), "point_height": pa.array([None], pa.float64()), "image": [image], "text_source": ["none"]})
+
+    read = spark.read.format("image").option("dropInvalid", True).load(path)
+    return read.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(told, PAGES)
+
+
 #: Fields of recognised words.
 OCR_WORD = "struct<text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>"
 OCR_TREE = f"array<struct<paragraphs:array<struct<lines:array<struct<words:array<{OCR_WORD}>>>>>>>"

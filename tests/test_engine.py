@@ -238,6 +238,32 @@ def test_files(spark, tmp_path):
     assert "megapixels" in small.warnings.first()["warning"] and small.words.count() == 0
 
 
+def test_pictures_of_other_kinds(spark, tmp_path):
+    jvm = spark._jvm
+    for name, kind, mode in (("a.jpg", "jpg", 1), ("b.png", "png", 2), ("c.png", "png", 10)):  # RGB, with alpha, grey
+        picture = jvm.java.awt.image.BufferedImage(16, 8, mode)
+        for x in range(16):
+            for y in range(8):
+                picture.setRGB(x, y, -65536)  # opaque red
+        if mode == 2:
+            picture.setRGB(0, 0, 0)  # clear
+        assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(tmp_path / name)))
+    got = {r["doc_id"][-5:]: r for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert {(r["width"], r["height"]) for r in got.values()} == {(16.0, 8.0)}
+    shown = {k: raster.decode_png(bytes(r["image"])) for k, r in got.items()}
+    assert (abs(shown["a.jpg"][4, 8].astype(int) - [255, 0, 0]) < 6).all()
+    assert tuple(shown["b.png"][0, 0]) == (255, 255, 255) and tuple(shown["b.png"][4, 8]) == (255, 0, 0)
+    assert len(set(shown["c.png"][4, 8])) == 1
+
+
+def test_public_names():
+    import inkveil
+
+    assert all(getattr(inkveil, n) is not None for n in inkveil.__all__)
+    with pytest.raises(AttributeError):
+        inkveil.nothing  # noqa: B018
+
+
 def test_providers(spark):
     asked = spark.createDataFrame([(0, 0, "p")], "doc_id bigint, call int, prompt string")
     own = CustomProvider("own", lambda r: {"redactions": [], "system": r["system"]})
