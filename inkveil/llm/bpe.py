@@ -40,6 +40,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -51,7 +52,7 @@ from inkveil.llm.common import prepare, spread, widened
 #: Memo entries for a worker; the memo starts anew when it is full.
 MEMO = 300_000
 #: The same for runs that the library encodes, which take less memory each.
-LIBRARY_MEMO = 700_000
+LIBRARY_MEMO = 1_200_000
 #: Longer words are not kept in the memo.
 MEMO_LETTERS = 48
 #: Characters of text handled at once.
@@ -61,6 +62,11 @@ SPACE = "[^\\S\x1c-\x1f]"
 #: Letters, digits and signs whose classes are the same in all Unicode versions in use.
 SETTLED = re.compile("[^\x00-ȶ̀-ʹΆ-ώЀ-ҁҊ-ԓ‐-‧‰-⁞₠-₱←-⇿ぁ-ゖァ-ヺ一-龥가-힣]")
 
+#: Signs that close a word.
+CLOSING = ".,;:!?"
+#: Letters that are not their own composed form, or whose lower case depends on more than the letter.
+ODD_LETTERS = re.compile("[^A-Za-zÀ-ÖØ-öø-ıĲ-ȯĐđ]|[İŉ]")
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte: itself where printable, else the next from 256 on."""
@@ -306,15 +312,37 @@ class LibraryIds:
         for x in alone:
             yield x, array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Puts the ids of runs into the memo; those of long runs come back, for this once.
+
+        A run of letters and closing signs takes its word's ids and the signs':
+        letters and signs are split before merging, and letters count in lower
+        case, so "Word," needs no more than "word" and ",".
+        """
+        memo, once, parts = self.memo, {}, {}
+        for x in runs:
+            word = x.rstrip(CLOSING)
+            low = word.lower()
+            if (word != x or low != word) and word.isalpha() and (word.isascii() or not ODD_LETTERS.search(word)):
+                parts[x] = (low, x[len(word) :])
+        direct = runs.difference(parts)
+        direct.update(low for low, _ in parts.values())
+        direct.update(sign for _, sign in parts.values() if sign)
+        for x, ids in self._library(list(direct.difference(memo))):
+            (memo if len(x) <= MEMO_LETTERS else once)[x] = ids
+        for x, (low, sign) in parts.items():
+            ids = (memo.get(low) or once[low]) + (memo[sign] if sign else b"")
+            (memo if len(x) <= MEMO_LETTERS else once)[x] = ids
+        return once
+
     def encode(self, texts: list[str | None]) -> list[array]:
         runs = [[x for block in self.own.blocks(t or "") for x in block] for t in texts]
-        new = {x for r in runs for x in r if x not in self.memo}
-        if len(self.memo) + len(new) > LIBRARY_MEMO:
+        every = set(chain.from_iterable(runs))
+        new = every.difference(self.memo)
+        if len(self.memo) + 2 * len(new) > LIBRARY_MEMO:
             self.memo.clear()
-            new = {x for r in runs for x in r}
-        once = {}
-        for x, ids in self._library(list(new)):
-            (self.memo if len(x) <= MEMO_LETTERS else once)[x] = ids
+            new = every
+        once = self._learn(new) if new else {}
         out = []
         for r in runs:
             ids = array("I")
