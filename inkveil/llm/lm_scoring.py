@@ -13,8 +13,8 @@ A token is scored by the longest n-gram that occurs elsewhere too: its own
 occurrence does not count. With c the corpus counts, an n-gram g with context h
 gives (c(g) - 1) / (c(h) - 1); each shorter order costs a factor 0.4; a word
 that occurs nowhere else gives 1 / N. Logarithms are added in millionths, as
-integers, so that sums do not depend on order. N-grams are known by 64-bit
-hashes of their words (A-Z lower-cased).
+integers, so that sums do not depend on order. N-grams are known by HASH_BITS
+bits of a hash of their words (A-Z lower-cased).
 
 Defined cases: null or blank text has no words and score 0; n-grams do not cross
 documents; repeated rows are scored and counted each; an empty table gives an
@@ -40,6 +40,8 @@ ORDER = 3
 BACKOFF = 0.4
 #: Words of a block; a block holds one whole document at least.
 BLOCK_WORDS = 1_000_000
+#: Bits of an n-gram's hash: sorted hashes travel as differences, which these make half a byte shorter than 64 would.
+HASH_BITS = 60
 #: Millionths of a natural logarithm.
 SCALE = 1_000_000
 
@@ -112,13 +114,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.n
         yield block, ids, np.array(lengths), np.concatenate(parts)
 
 
+def _hashes(words: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    drop = np.uint64(64 - HASH_BITS)
+    return [((h >> drop)[there], there) for h, there in ngrams(words, lengths, order)]
+
+
 def _distinct(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of a block, all orders together, and their counts."""
-    every = np.sort(np.concatenate([h[there] for h, there in ngrams(words, lengths, order)]))
+    every = np.sort(np.concatenate([h for h, _ in _hashes(words, lengths, order)]))
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.array([], dtype=np.int64)
     return every[first], np.diff(np.r_[first, len(every)])
 
 
+def _aligned(every: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each hash its count, where counts go with the sorted distinct hashes. Sorting beats searching here."""
+    order = np.argsort(every)
+    ranked = every[order]
+    out = np.empty(len(every), dtype=np.int64)
+    out[order] = counts[np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]])] if len(every) else 0
+    return out
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     block, unit, one, two = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
@@ -135,7 +151,7 @@ def _partial(batches, order: int, bits: int) -> Iterator[pa.RecordBatch]:
     for block, _, lengths, words in _blocks(batches):
         hashes, counts = _distinct(words, lengths, order)
         units = 1 << bits
-        edges = np.searchsorted(hashes, np.arange(1, units, dtype=np.uint64) << np.uint64(64 - bits))
+        edges = np.searchsorted(hashes, np.arange(1, units, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
         counts = counts.astype("<u4")
         rows = []
         for unit, (h, c) in enumerate(zip(np.split(hashes, edges), np.split(counts, edges), strict=True)):
@@ -192,14 +208,15 @@ def _scores(batches, order: int) -> Iterator[pa.RecordBatch]:
         ids, known = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, np.uint8, n, 16 + 8 * n)
         lengths = np.frombuffer(raw, "<i8", n, 16 + 9 * n)
         words = np.frombuffer(raw[16 + 17 * n :], "<u8", m)[_unpack(two, "<u4")] if m else np.array([], dtype=np.uint64)
-        distinct, _ = _distinct(words, lengths, order)
-        count = np.concatenate(totals) if totals else np.array([], dtype=np.uint64)
+        grams = _hashes(words, lengths, order)
+        own_counts = _aligned(np.concatenate([h for h, _ in grams]), np.concatenate(totals).astype(np.int64) if totals else np.array([], dtype=np.int64))
+        own_counts = np.split(own_counts, np.cumsum([len(h) for h, _ in grams])[:-1])
         micro = np.zeros(len(words), dtype=np.int64)
         level = np.zeros(len(words), dtype=np.int64)  # the order that scored the token; 0: none
         context = None
-        for k, (hashes, there) in enumerate(ngrams(words, lengths, order), 1):
+        for k, ((_, there), counts) in enumerate(zip(grams, own_counts, strict=True), 1):
             own = np.zeros(len(words), dtype=np.int64)
-            own[there] = count[np.searchsorted(distinct, hashes[there])]
+            own[there] = counts
             seen = own > 1
             if k == 1:
                 value = np.log(np.maximum(own - 1, 1))
@@ -240,7 +257,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     """Per row: doc_id, n_words, n_unigram and n_unseen (tokens scored so), score_micro (log score in millionths)."""
     prepare(df.sparkSession)
     slim = spread(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bits = max(4, (2 * partitions(slim) - 1).bit_length())
+    bits = max(4, (8 * partitions(slim) - 1).bit_length())
     sent = slim.mapInArrow(lambda b: _partial(b, order, bits), _ROWS)
     counted = sent.repartition("unit").sortWithinPartitions("unit").mapInArrow(_totals, _ROWS)
     both = slim.mapInArrow(_documents, _ROWS).union(counted)
