@@ -30,7 +30,7 @@ NOTHING_READ = "page %d: no text could be read and vision did not run, so nothin
 
 @dataclass(frozen=True)
 class Pages:
-    """A document set: pages (doc_id, page, width, height, text_source), lines, words, links; image in a table of its own."""
+    """A document set: pages (doc_id, page, width, height, text_source, and has_text where it is known), lines, words, links; image in a table of its own."""
 
     pages: DataFrame
     lines: DataFrame
@@ -126,8 +126,11 @@ def redact(
     started = time.time()
     targets = resolve_targets(options.targets)
     spark = source.pages.sparkSession
-    has = source.words.groupBy(*PAGE).agg(F.lit(True).alias("has_text"))
-    planned = plan_pages(source.pages.join(has, PAGE, "left").withColumn("has_text", F.coalesce("has_text", F.lit(False))), targets, options.mode)
+    known = source.pages
+    if "has_text" not in known.columns:  # a layout that knows saves the pass over the words
+        has = source.words.groupBy(*PAGE).agg(F.lit(True).alias("has_text"))
+        known = known.join(has, PAGE, "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
+    planned = plan_pages(known, targets, options.mode)
     asked_any = provider is not None or any(r is not None for r in recorded)
     can_see = recorded[1] is not None or source.images is not None
     if asked_any and not can_see:  # without pictures there is nothing to show
@@ -195,8 +198,9 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Plain text as fixed-pitch pages."""
     from inkveil.sources.text_layout import page_sizes, text_lines, text_words
 
-    lines = text_lines(docs, id_col, text_col)
-    return Pages(page_sizes(docs, id_col, text_col).withColumn("text_source", F.lit("pdf-text-layer")), lines, text_words(docs, id_col, text_col))
+    source = F.when(F.col("has_text"), "pdf-text-layer").otherwise("none")
+    pages = page_sizes(docs, id_col, text_col).withColumn("text_source", source)
+    return Pages(pages, text_lines(docs, id_col, text_col), text_words(docs, id_col, text_col))
 
 
 def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes, int], list] | None = None) -> Pages:

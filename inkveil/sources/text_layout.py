@@ -74,12 +74,12 @@ def text_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def page_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, page, width, height of fixed-pitch pages, blank ones too; wide lines widen their page."""
+    """doc_id, page, width, height, has_text of fixed-pitch pages, blank ones too; wide lines widen their page."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("all")).filter(F.col("all").isNotNull())
     starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PAGE_LINES).cast("int"))
     pages = docs.select("doc_id", "all", F.explode(starts).alias("page"))
     longest = F.array_max(F.transform(F.slice("all", F.col("page") * PAGE_LINES + 1, PAGE_LINES), lambda x: F.length(single_spaced(x))))
-    return pages.select("doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), longest * PITCH).cast("double").alias("width"), F.lit(PAGE_HEIGHT).alias("height"))
+    return pages.select("doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), longest * PITCH).cast("double").alias("width"), F.lit(PAGE_HEIGHT).alias("height"), (longest > 0).alias("has_text"))
 
 
 #: An anchor with its target, and any other tag.
