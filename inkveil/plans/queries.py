@@ -15,6 +15,7 @@ from inkveil.operators import layout, links, merge, model_text, model_vision, pa
 from inkveil.options import GridOptions
 from inkveil.plans import pipeline
 from inkveil.sources import files, text_layout
+from inkveil.sources.tables import read_table
 from inkveil.targets import BUILTIN, SOCIAL, URL_BARE, URL_EXPLICIT, URL_PATH, Target, resolve_targets
 
 #: Lines for shapes that the tables lack; ids below zero.
@@ -29,8 +30,12 @@ LITERALS = [
 CUSTOM = Target("batch", "A batch mark.", (r"[a-z]{3}ing of",))
 
 
+#: What the engine's queries read of the tables that hold texts.
+TEXTS = {"documents": ["doc_id", "text"], "pages": ["page_id", "url", "html"]}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", TEXTS.get(name))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,10 +367,11 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _table(spark, sf_dir, "documents")
     lines = text_layout.text_lines(docs)
-    images = paint.blank_pages(lines, text_layout.page_sizes(docs).withColumn("width", F.least("width", F.lit(1200.0))))
     regions = merge.merge_detections(patterns.detect_patterns(lines, resolve_targets(["email", "phone"])))
     # Only pages that have something to cover are drawn: drawing is what the test data cannot give.
-    return images.join(regions.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"), regions
+    wanted = regions.select("doc_id", "page").distinct()
+    sizes = text_layout.page_sizes(docs).withColumn("width", F.least("width", F.lit(1200.0)))
+    return paint.blank_pages(lines.join(wanted, ["doc_id", "page"], "left_semi"), sizes), regions
 
 
 def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import box, union_all
-from inkveil.functions.text import BLANK, single_spaced
+from inkveil.functions.text import let, single_spaced
 
 PITCH, LEADING, HEIGHT = 6, 14, 12
 PAGE_LINES = 60
@@ -51,18 +51,29 @@ def mono_words(page: Column, slot: Column, first: Column, text: Column, start: C
     """
     head = F.substring(text, F.lit(1), start)
     begin = start - F.length(F.regexp_extract(head, "[^ ]*$", 0))
-    stop = end + F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), "^[^ ]*", 0))
     begin = F.when(F.substring(text, start + 1, F.lit(1)) == " ", start + 1).otherwise(begin)
-    piece = F.rtrim(F.substring(text, begin + 1, stop - begin))
-    before = F.length(F.regexp_replace(F.substring(text, F.lit(1), begin), "[^ ]+", ""))
-    parts = F.split(piece, " ")
+    stop = end + F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), "^[^ ]*", 0))
+
+    def named(span: Column) -> Column:
+        piece = F.rtrim(F.substring(text, span["begin"] + 1, span["stop"] - span["begin"]))
+        before = F.length(F.regexp_replace(F.substring(text, F.lit(1), span["begin"]), "[^ ]+", ""))
+        return let(F.struct(span["begin"].alias("begin"), (first + before).alias("index"), F.split(piece, " ").alias("parts")), placed)
+
+    def placed(s: Column) -> Column:
+        def word(w: Column, i: Column, starts: Column) -> Column:
+            name = F.concat(F.lit("p"), page, F.lit("w"), s["index"] + i)
+            return F.struct(name.alias("word_id"), w.alias("text"), mono_box(slot, F.get(starts, i), F.length(w)).alias("box"))
+
+        return let(word_starts(s["parts"], s["begin"]), lambda starts: F.transform(s["parts"], lambda w, i: word(w, i, starts)))
+
+    return let(F.struct(begin.alias("begin"), stop.alias("stop")), named)
 
-    def word(w: Column, i: Column) -> Column:
-        at = begin + F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
-        name = F.concat(F.lit("p"), page, F.lit("w"), first + before + i)
-        return F.struct(name.alias("word_id"), w.alias("text"), mono_box(slot, at, F.length(w)).alias("box"))
 
-    return F.transform(parts, word)
+def word_starts(parts: Column, begin: Column) -> Column:
+    """Starts of single-spaced words, by one fold over them."""
+    state = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+    return F.aggregate(parts, state, step, lambda s: s["starts"])
 
 
 def text_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
