@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkveil.sources.tables import partitions, spread  # noqa: F401  (used by the operators)
+
 #: Rows per Arrow batch; long texts make larger batches costly in memory.
 ARROW_ROWS = 512
 
@@ -22,17 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(df: DataFrame) -> int:
-    """Partitions of a plan without shuffles (a scan, say); starts no job."""
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a scan with fewer partitions than cores to all cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if partitions(df) < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
