@@ -102,14 +102,17 @@ def _matched(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.Record
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    t = pa.Table.from_batches(got).to_pandas()
-    for over, rows in t.groupby("over", sort=True):
-        cells = sorted(rows["cell"].unique())
+    t = pa.Table.from_batches(got)
+    over, cell, bin_ = (t.column(c).to_numpy() for c in ("over", "cell", "bin"))
+    sums = np.stack([t.column(c).to_numpy().astype(float) for c in ("size", "tokens", "n")], axis=1)
+    for group in np.unique(over):
+        own = over == group
+        cells = np.unique(cell[own])
         vectors = np.zeros((len(cells), bins, 3))
-        vectors[np.searchsorted(cells, rows["cell"]), rows["bin"]] = rows[["size", "tokens", "n"]]
+        vectors[np.searchsorted(cells, cell[own]), bin_[own]] = sums[own]
         tos = match(list(vectors))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cells) * bins, over, dtype=np.int64)), pa.array(np.repeat(np.array(cells, dtype=np.int64), bins)),
+            [pa.array(np.full(len(cells) * bins, group, dtype=np.int64)), pa.array(np.repeat(cells, bins)),
              pa.array(np.tile(np.arange(bins, dtype=np.int32), len(cells))), pa.array(np.concatenate(tos).astype(np.int32))],
             names=["over", "cell", "bin", "to"],
         )
