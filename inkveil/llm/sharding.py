@@ -1,8 +1,8 @@
 """Sharding by vector bin packing.
 
 Shards shall have near equal bytes, tokens and rows at once. Rows with equal
-texts form a group, which goes to one shard; a group of very many rows is split
-into parts, as no shard could hold a third of all rows. Groups are dealt to
+texts form a group, which goes to one shard; a group of very many rows or bytes is
+split into parts, as no shard could hold a third of all rows. Groups are dealt to
 cells by hash. Each cell packs its groups into as many bins as there are shards,
 large ones first, each where the dot product of its vector with the residual
 capacity is highest. Then the cells' bins, a few numbers each, are packed into
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import cut, prepare
 
 SHARDS = 40
-#: Rows of one part of a group.
-GROUP_ROWS = 64
+#: Rows and bytes of one part of a group.
+GROUP_ROWS, GROUP_BYTES = 64, 128 << 10
+#: Rows of a cell, and cells at most; beyond them cells grow.
+CELL_ROWS, CELLS = 10_000, 20_000
 #: Cells whose bins are packed together.
 FAN = 1024
 #: Bytes that a row costs beside its text.
@@ -131,11 +133,14 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         )
     )
-    large = cut(rows.groupBy("h").count().filter(F.col("count") > GROUP_ROWS).select("h", F.ceil(F.col("count") / GROUP_ROWS).alias("parts")))
+    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("all") / GROUP_BYTES)))
+    large = cut(groups.select("h", parts.alias("parts")).filter("parts > 1"))
     salt = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.coalesce("parts", F.lit(1)))
     parted = rows.join(large, "h", "left").select("doc_id", "h", "size", "tokens", "text_crc32", salt.alias("part"))
     schema = "doc_id long, size long, tokens long, text_crc32 long, cell long, bin int, place long"
-    placed = cut(parted.repartition("h", "part").mapInArrow(lambda b: _packed(b, shards), schema))
+    cells = min(CELLS, max(1, -(-rows.count() // CELL_ROWS)))
+    placed = cut(parted.repartition(cells, "h", "part").mapInArrow(lambda b: _packed(b, shards), schema))
 
     bins = cut(placed.groupBy("cell", "bin").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
     # Each round maps the cells' bins to bins of FAN times larger cells, until one cell is left: its bins are the shards.
