@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from inkveil.operators.paint import STYLE_WARNING  # noqa: F401  (told to readers of the audit)
+from inkveil.operators.prompts import text_prompt_parts
 from inkveil.plans.pipeline import NO_PROVIDER, NOTHING_READ
 from inkveil.plans.queries import LITERALS
-from inkveil.targets import BARE_ENDINGS, PROFILE_HOSTS, builtin_target_ids
+from inkveil.targets import BARE_ENDINGS, PROFILE_HOSTS, builtin_target_ids, resolve_targets
 
 BLANKS = r"[\s\x0B\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -133,28 +133,64 @@ boxes AS (SELECT l_orderkey AS doc_id, 0 AS page, ['email', 'phone', 'url'][l_li
                  (12 + l_linenumber % 2 * 3)::DOUBLE AS height, CASE WHEN l_linenumber % 4 <> 0 THEN l_returnflag END AS text, 0.4::DOUBLE + l_discount * 4 AS confidence,
                  CASE WHEN l_linenumber % 2 = 0 THEN 'pattern' ELSE 'llm-text' END AS source, 'w' || (l_linenumber % 4) AS word_id FROM lineitem),
 good AS (SELECT * FROM boxes WHERE confidence >= 0.5 AND width > 0.5 AND height > 0.5)"""
-MERGED = BOXES + """,
-seqd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, line, target, width, height, text NULLS FIRST, confidence, source, word_id) AS n FROM good),
-lists AS (SELECT doc_id, list({target: target, x0: x, y0: y, x1: x + width, y1: y + height, text: text, confidence: confidence, source: source, ids: [word_id]} ORDER BY n) AS items FROM seqd GROUP BY doc_id),
-start AS (SELECT doc_id, list_transform(items, lambda e: [e]) AS wrapped FROM lists),
-folded AS (SELECT doc_id, list_reduce(wrapped, lambda acc, e: CASE
-    WHEN len(list_filter(acc, lambda r: (e[1].x0 >= r.x0 - 1 AND e[1].y0 >= r.y0 - 1 AND e[1].x1 <= r.x1 + 1 AND e[1].y1 <= r.y1 + 1)
+#: Whether region r and item e[1] stand for one place.
+_SAME = """((e[1].x0 >= r.x0 - 1 AND e[1].y0 >= r.y0 - 1 AND e[1].x1 <= r.x1 + 1 AND e[1].y1 <= r.y1 + 1)
         OR (r.x0 >= e[1].x0 - 1 AND r.y0 >= e[1].y0 - 1 AND r.x1 <= e[1].x1 + 1 AND r.y1 <= e[1].y1 + 1)
         OR (least(r.x1, e[1].x1) > greatest(r.x0, e[1].x0) AND least(r.y1, e[1].y1) > greatest(r.y0, e[1].y0) AND
             (least(r.x1, e[1].x1) - greatest(r.x0, e[1].x0)) * (least(r.y1, e[1].y1) - greatest(r.y0, e[1].y0)) /
-            ((r.x1 - r.x0) * (r.y1 - r.y0) + (e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0) - (least(r.x1, e[1].x1) - greatest(r.x0, e[1].x0)) * (least(r.y1, e[1].y1) - greatest(r.y0, e[1].y0))) > 0.5))) = 0
+            ((r.x1 - r.x0) * (r.y1 - r.y0) + (e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0) - (least(r.x1, e[1].x1) - greatest(r.x0, e[1].x0)) * (least(r.y1, e[1].y1) - greatest(r.y0, e[1].y0))) > 0.5))"""
+
+
+def merged(order: str) -> str:
+    """CTEs from ``good`` to ``merged``: a fold over each page's items in order, as the engine's is."""
+    return f""",
+seqd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY {order}) AS n_ FROM good),
+lists AS (SELECT doc_id, page, list({{target: target, x0: x, y0: y, x1: x + width, y1: y + height, text: text, confidence: confidence, source: source, ids: [word_id]}} ORDER BY n_) AS items FROM seqd GROUP BY doc_id, page),
+start AS (SELECT doc_id, page, list_transform(items, lambda e: [e]) AS wrapped FROM lists),
+folded AS (SELECT doc_id, page, list_reduce(wrapped, lambda acc, e: CASE
+    WHEN len(list_filter(acc, lambda r: {_SAME})) = 0
     THEN list_concat(acc, e)
-    ELSE list_transform(acc, lambda h, k: CASE WHEN k = list_position(list_transform(acc, lambda r: (e[1].x0 >= r.x0 - 1 AND e[1].y0 >= r.y0 - 1 AND e[1].x1 <= r.x1 + 1 AND e[1].y1 <= r.y1 + 1)
-        OR (r.x0 >= e[1].x0 - 1 AND r.y0 >= e[1].y0 - 1 AND r.x1 <= e[1].x1 + 1 AND r.y1 <= e[1].y1 + 1)
-        OR (least(r.x1, e[1].x1) > greatest(r.x0, e[1].x0) AND least(r.y1, e[1].y1) > greatest(r.y0, e[1].y0) AND
-            (least(r.x1, e[1].x1) - greatest(r.x0, e[1].x0)) * (least(r.y1, e[1].y1) - greatest(r.y0, e[1].y0)) /
-            ((r.x1 - r.x0) * (r.y1 - r.y0) + (e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0) - (least(r.x1, e[1].x1) - greatest(r.x0, e[1].x0)) * (least(r.y1, e[1].y1) - greatest(r.y0, e[1].y0))) > 0.5)), true)
-      THEN {target: CASE WHEN h.target = e[1].target THEN h.target ELSE array_to_string(list_sort(list_distinct(string_split(h.target || '+' || e[1].target, '+'))), '+') END,
+    ELSE list_transform(acc, lambda h, k: CASE WHEN k = list_position(list_transform(acc, lambda r: {_SAME}), true)
+      THEN {{target: CASE WHEN h.target = e[1].target THEN h.target ELSE array_to_string(list_sort(list_distinct(string_split(h.target || '+' || e[1].target, '+'))), '+') END,
             x0: least(h.x0, e[1].x0), y0: least(h.y0, e[1].y0), x1: greatest(h.x1, e[1].x1), y1: greatest(h.y1, e[1].y1),
             text: CASE WHEN e[1].text IS NULL OR e[1].text = '' THEN h.text WHEN h.text IS NULL OR h.text = '' THEN e[1].text WHEN contains(h.text, e[1].text) THEN h.text ELSE h.text || ' | ' || e[1].text END,
             confidence: greatest(h.confidence, e[1].confidence), source: CASE WHEN e[1].source = 'pattern' THEN 'pattern' ELSE h.source END,
-            ids: list_concat(h.ids, list_filter(e[1].ids, lambda i: NOT list_contains(h.ids, i)))} ELSE h END) END) AS regions FROM start),
-merged AS (SELECT doc_id, 0 AS page, (i - 1)::INT AS ord, regions[i] AS r FROM folded, LATERAL (SELECT unnest(range(1, len(regions) + 1)) AS i))"""
+            ids: list_concat(h.ids, list_filter(e[1].ids, lambda i: NOT list_contains(h.ids, i)))}} ELSE h END) END) AS regions FROM start),
+merged AS (SELECT doc_id, page, (i - 1)::INT AS ord, regions[i] AS r FROM folded, LATERAL (SELECT unnest(range(1, len(regions) + 1)) AS i))"""
+
+
+MERGED = BOXES + merged("y, x, line, target, width, height, text NULLS FIRST, confidence, source, word_id")
+
+
+def flagship() -> str:
+    """All text patterns over documents, merged by page, counted by document."""
+    shapes = [("email", EMAIL, 0, "true"), ("phone", PHONE, 0, PHONE_OK + " AND " + NOT_IN_URL), ("social", SOCIAL, 0, "true"), ("url", EXPLICIT, 0, "true"), ("url", PATH, 1, "true"), ("url", BARE, 1, "true"),
+              ("dob", DOB, 0, "length(trim(raw)) > 3 AND " + NOT_IN_URL)]
+    ctes, rows = [lines(PLAIN), URLS], []
+    for k, (target, pattern, group, test) in enumerate(shapes):
+        ctes.append(found(f"h{k}", pattern, group))
+        order = ["email", "phone", "social", "url", "dob"].index(target)
+        rows.append(f"SELECT doc_id, page, slot, line_no, text AS line, first, raw, start, '{target}' AS target, {order} AS n, {k} AS k FROM h{k} h WHERE trim(raw) <> '' AND {test}")
+    return f"""WITH {','.join(ctes)}, hits AS ({' UNION ALL '.join(rows)}),
+t AS (SELECT *, start + length(raw) - length(ltrim(raw)) AS b0, trim(raw) AS value FROM hits),
+e AS (SELECT *, b0 - length(regexp_extract(line[1:b0], '[^ ]*$')) AS wb, b0 + length(value) + length(regexp_extract(substr(line, b0 + length(value) + 1), '^[^ ]*')) AS we FROM t),
+good AS (SELECT doc_id, page, target, (6 * wb)::DOUBLE AS x, (14 * slot)::DOUBLE AS y, (6 * (we - wb))::DOUBLE AS width, 12.0::DOUBLE AS height, value AS text, 1.0::DOUBLE AS confidence, 'pattern' AS source, '' AS word_id, n, line_no, k, start FROM e)
+{merged("y, x, n, line_no, k, start")},
+c AS (SELECT doc_id, r.target AS target, count(*) AS n FROM merged GROUP BY ALL),
+l AS (SELECT doc_id, string_agg(target || '=' || n, ',' ORDER BY target) AS counts FROM c GROUP BY doc_id)
+SELECT doc_id, count(DISTINCT page) AS pages, coalesce(any_value(counts), '') AS counts FROM slots LEFT JOIN l USING (doc_id) GROUP BY doc_id"""
+
+
+def requests() -> str:
+    """Sizes of text requests: what stands around the transcript, and the numbered lines."""
+    around = sum(map(len, text_prompt_parts(resolve_targets(["name", "email"]))))
+    return f"""WITH RECURSIVE {lines(PLAIN)}, o AS (SELECT doc_id, page, line_no, text, length(text) + 8 AS cost FROM lines),
+f AS (SELECT doc_id, page, line_no, text, 0 AS chunk, cost AS size FROM o WHERE line_no = 1
+  UNION ALL SELECT o.doc_id, o.page, o.line_no, o.text, CASE WHEN size + o.cost > 12000 THEN chunk + 1 ELSE chunk END, CASE WHEN size + o.cost > 12000 THEN o.cost ELSE size + o.cost END
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.line_no = f.line_no + 1)
+SELECT doc_id, page, chunk, (row_number() OVER (PARTITION BY doc_id ORDER BY page, chunk) - 1)::INT AS call, ({around} + sum(length(line_no::VARCHAR) + 2 + length(text)) + count(*) - 1)::INT AS size, 1 AS ends
+FROM f GROUP BY doc_id, page, chunk"""
+
 
 _PLAN = """planned AS (SELECT doc_id, mode, has, CASE WHEN mode IN ('auto', 'text') THEN has ELSE false END AS plan_text, mode IN ('auto', 'vision') AS plan_vision,
   CASE WHEN mode = 'vision' OR (mode = 'auto' AND NOT has) THEN 'email,photo' WHEN mode = 'auto' THEN 'photo' ELSE '' END AS vision_targets
@@ -245,6 +281,8 @@ s AS (SELECT doc_id, count(*) AS n_pages, sum(px) AS total, max(px) AS most, min
 SELECT doc_id, n_pages, floor(total / 1e6 + 0.5)::INT AS megapixels, CASE WHEN n_pages > 6 THEN 'the document has ' || n_pages || ' pages, and the limit is 6'
   WHEN most > 40000000 THEN 'page ' || (big + 1) || ' is over the limit of 40 megapixels at 144 dpi'
   WHEN total > 200000000 THEN 'the document has ' || floor(total / 1e6 + 0.5)::INT || ' megapixels at 144 dpi, and the limit is 200' END AS error FROM s""",
+        "redact_documents": flagship(),
+        "text_requests": requests(),
         "proxy_family": "SELECT p_partkey, ['monospace', 'serif', 'sans-serif', 'serif', 'monospace', 'serif'][p_partkey % 6 + 1] AS family FROM part",
         "words_from_runs": f"WITH {words(PLAIN)} SELECT doc_id, page, ord, text, x, round(y - 8.8, 3) AS y, width FROM words",
         "ocr_words": f"WITH {words(PLAIN)} SELECT doc_id, page, count(*) AS n_words, count(DISTINCT line) AS n_lines, sum(length(text))::BIGINT AS letters FROM words WHERE ord % 50 * 2 > 30 GROUP BY doc_id, page",
