@@ -203,10 +203,13 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return Pages(pages, text_lines(docs, id_col, text_col), text_words(docs, id_col, text_col))
 
 
-def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes, int], list] | None = None) -> Pages:
+def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes, int], list] | None = None, ocr: Callable | None = None) -> Pages:
     """Files as pages. Simple PDFs give words and links; their pictures take a renderer, a function from (bytes, dpi) to RGB arrays.
 
-    Documents over the limits are left out and told of in warnings.
+    Pages without words are read by ocr, a function from a language to an engine
+    (see recognise), unless options.ocr is off; without an engine a warning says
+    so once a document. Documents over the limits are left out and told of in
+    warnings.
     """
     import pyarrow as pa
 
@@ -235,6 +238,15 @@ def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes
         pdfs = files.filter(fs.sniff(F.col("content")) == "pdf").select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(good, "doc_id", "left_semi")
         images = images.unionByName(pdfs.mapInArrow(drawn, "doc_id string, page int, image binary"))
     told = limits.filter("error is not null").select("doc_id", F.col("error").alias("warning"))
+    unread = pages.filter(F.col("text_source") == "none")
+    if options.ocr and ocr is not None:
+        options.progress("ocr")
+        read = fs.ocr_words(fs.recognise(images.join(unread.select(*PAGE), PAGE, "left_semi"), ocr, options.ocr_language))
+        words = words.unionByName(read.select(*words.columns))
+        seen = read.select(*PAGE, F.lit("ocr").alias("by")).distinct()
+        pages = pages.join(seen, PAGE, "left").withColumn("text_source", F.coalesce("by", "text_source")).drop("by")
+    elif options.ocr:
+        told = told.unionByName(unread.select("doc_id", F.lit(fs.OCR_MISSING).alias("warning")).distinct())
     context = None
     if options.context_url:
         got = fs.context_table(files, options.context_url)

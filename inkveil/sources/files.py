@@ -269,6 +269,25 @@ class OcrEngine:
             engine.close()
 
 
+OCR_MISSING = "an OCR engine is needed to read pages that have no text layer; vision is left for them"
+
+
+def recognise(images: DataFrame, make: Callable[[str], Callable[[bytes], list[dict]]], language: str = "eng") -> DataFrame:
+    """doc_id, page, words of pictures. make(language) gives an engine: PNG bytes to dicts of text, confidence and bbox (x0, y0, x1, y1)."""
+    corner = pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+    kind = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", corner)]))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            engine = OcrEngine.get(language, make)
+            for i in range(batch.num_rows):  # one picture at a time
+                words = engine(batch.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([words], kind)], names=["doc_id", "page", "words"])
+
+    slim = images.select("doc_id", "page", "image")
+    return slim.mapInArrow(told, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, page int, words array<{OCR_WORD}>")
+
+
 def fetch_context(base_url: str, data: bytes, timeout: float = 30.0) -> str:
     """A document as markdown from a parsing service: PUT <base>/tika. Telling what to look for, it never gives places."""
     from urllib.error import HTTPError, URLError

@@ -256,6 +256,27 @@ def test_pictures_of_other_kinds(spark, tmp_path):
     assert len(set(shown["c.png"][4, 8])) == 1
 
 
+def test_pages_without_text_are_read_by_an_engine(spark, tmp_path):
+    (tmp_path / "scan.png").write_bytes(raster.encode_png(np.full((40, 300, 3), 255, np.uint8)))
+    read = files.read_files(spark, str(tmp_path))
+
+    def make(language):
+        at = lambda x: {"x0": x, "y0": 10.0, "x1": x + 80.0, "y1": 22.0}
+        return lambda png: [
+            {"text": " jane@example.com ", "confidence": 90.0, "bbox": at(5.0)}, {"text": language, "confidence": 31.0, "bbox": at(100.0)},
+            {"text": "noise", "confidence": 30.0, "bbox": at(200.0)}, {"text": " ", "confidence": 99.0, "bbox": at(210.0)},
+        ]
+
+    options = RedactOptions(("email",), mode="patterns-only", style="box", padding=0)
+    source = file_pages(read, options, ocr=make)
+    assert [(r["word_id"], r["text"]) for r in source.words.orderBy("ord").collect()] == [("p0o0", "jane@example.com"), ("p0o1", "eng")]
+    r = redact(source, options)
+    assert [x["text"] for x in r.regions.collect()] == ["jane@example.com"] and r.audit.first()["text_sources"] == ["ocr"]
+    assert files.OCR_MISSING in redact(file_pages(read, options), options).audit.first()["warnings"]
+    quiet = RedactOptions(("email",), mode="patterns-only", style="box", ocr=False)
+    assert [w[:7] for w in redact(file_pages(read, quiet), quiet).audit.first()["warnings"]] == ["page 1:"]
+
+
 def test_public_names():
     import inkveil
 
