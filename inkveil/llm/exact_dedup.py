@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from inkveil.llm.common import prepare, spread
 
 #: Bytes of distinct texts that one table holds before its bucket is partitioned again.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 20 << 20
 #: Buckets per level, as bits of the hash.
 FAN_BITS = 4
 #: SHA-256 has so many levels of FAN_BITS; deeper there is nothing left to split by.
@@ -238,9 +238,11 @@ def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def within(batches):
         yield from resolve(_start(batches, id_col, text_col, True), text_col)
+        pa.default_memory_pool().release_unused()  # workers live on after the task
 
     def across(batches):
         yield from resolve(batches, text_col)
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(within, schema).repartition("sha").mapInArrow(across, schema)
 
