@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.llm.common import spread
+
 #: Characters between words, as a Java class body.
 BLANK = r" \t-\r"
 
@@ -104,7 +106,7 @@ def _judged(text: Column, rules: LineRules) -> Column:
 def quality(df: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """df's rows in the struct ``row``, with the counts, base_failed and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_words"]
-    row = df.select(F.struct("*").alias("row"))
+    row = spread(df).select(F.struct("*").alias("row"))
     found = row.withColumn("found", _judged(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")), rules))
 
     def base(s: Column) -> Column:
