@@ -364,32 +364,34 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "pages", F.array_join(F.transform(F.array_sort(F.map_entries("detection_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pictures of pages, the regions to cover, and the sizes. Long lines are wrapped, in pictures and boxes alike."""
     docs = _table(spark, sf_dir, "documents")
     lines = text_layout.text_lines(docs)
     regions = merge.merge_detections(patterns.detect_patterns(lines, resolve_targets(["email", "phone"])))
     # Only pages that have something to cover are drawn: drawing is what the test data cannot give.
     wanted = regions.select("doc_id", "page").distinct()
-    sizes = text_layout.page_sizes(docs).withColumn("width", F.least("width", F.lit(1200.0)))
-    return paint.blank_pages(lines.join(wanted, ["doc_id", "page"], "left_semi"), sizes), regions
+    sizes = text_layout.wrapped_sizes(docs)
+    rows = text_layout.wrapped_lines(lines.join(wanted, ["doc_id", "page"], "left_semi"), sizes)
+    return paint.blank_pages(rows, sizes), text_layout.wrapped_boxes(regions, sizes), sizes
 
 
 def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        images, regions = _drawn(spark, sf_dir)
-        done = paint.paint_pages(images, merge.pad_detections(regions, 2.0, images), style)
+        images, regions, sizes = _drawn(spark, sf_dir)
+        done = paint.paint_pages(images, merge.pad_detections(regions, 2.0, sizes), style)
         return done.select("doc_id", "page", "width", "height", F.hex(F.substring("image", 2, 3)).alias("kind"))
 
     return query
 
 
 def grid_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images, _ = _drawn(spark, sf_dir)
+    images, _, _ = _drawn(spark, sf_dir)
     return paint.grid_overlays(images).select("doc_id", "page", F.hex(F.substring("image", 2, 3)).alias("kind"))
 
 
 def build_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images, regions = _drawn(spark, sf_dir)
+    images, regions, _ = _drawn(spark, sf_dir)
     pdfs = paint.build_pdfs(paint.paint_pages(images, regions, "box"))
     return pdfs.select("doc_id", F.decode(F.substring("pdf", 1, 5), "US-ASCII").alias("head"), (F.octet_length("pdf") > 500).alias("filled"))
 

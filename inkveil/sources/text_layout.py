@@ -93,6 +93,44 @@ def page_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return pages.select("doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), longest * PITCH).cast("double").alias("width"), F.lit(PAGE_HEIGHT).alias("height"), (longest > 0).alias("has_text"))
 
 
+#: Characters of a row of a wrapped page.
+WRAP = 200
+
+
+def wrapped_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, page, width, height, tops of pages whose lines are wrapped after WRAP characters. tops has the row where each slot begins."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("all")).filter(F.col("all").isNotNull())
+    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PAGE_LINES).cast("int"))
+    pages = docs.select("doc_id", "all", F.explode(starts).alias("page"))
+    sizes = pages.select("doc_id", "page", F.transform(F.slice("all", F.col("page") * PAGE_LINES + 1, PAGE_LINES), lambda x: F.length(single_spaced(x))).alias("sizes"))
+    state = F.struct(F.lit(0).alias("rows"), F.array().cast("array<int>").alias("tops"))
+    step = lambda s, n: F.struct((s["rows"] + F.greatest(F.lit(1), F.ceil(n / WRAP).cast("int"))).alias("rows"), F.concat(s["tops"], F.array(s["rows"])).alias("tops"))
+    placed = sizes.select("doc_id", "page", F.least(F.array_max("sizes"), F.lit(WRAP)).alias("longest"), F.aggregate("sizes", state, step).alias("s"))
+    return placed.select(
+        "doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), F.col("longest") * PITCH).cast("double").alias("width"),
+        F.greatest(F.lit(PAGE_HEIGHT), F.col("s.rows") * LEADING).cast("double").alias("height"), F.col("s.tops").alias("tops"),
+    )
+
+
+def wrapped_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, page, slot, text of the rows that the lines are wrapped into; slot is the row on the page."""
+    met = lines.join(sizes.select("doc_id", "page", "tops"), ["doc_id", "page"])
+    parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / WRAP).cast("int"))
+    rows = met.select("doc_id", "page", F.get("tops", F.col("slot")).alias("top"), "text", F.explode(parts).alias("k"))
+    return rows.select("doc_id", "page", (F.col("top") + F.col("k")).alias("slot"), F.substring("text", F.col("k") * WRAP + 1, F.lit(WRAP)).alias("text"))
+
+
+def wrapped_boxes(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """regions of single lines moved to the wrapped page; one that runs over a row's end becomes a box on each row."""
+    met = regions.join(sizes.select("doc_id", "page", "tops"), ["doc_id", "page"])
+    row, x, right = WRAP * PITCH, F.col("box.x"), F.col("box.x") + F.col("box.width")
+    parts = F.sequence(F.floor(x / row), F.ceil(right / row) - 1)
+    met = met.withColumn("top", F.get("tops", F.floor(F.col("box.y") / LEADING).cast("int"))).withColumn("k", F.explode(parts))
+    left = F.greatest(x - F.col("k") * row, F.lit(0.0))
+    place = box(left, (F.col("top") + F.col("k")) * LEADING, F.least(right - F.col("k") * row, F.lit(float(row))) - left, F.col("box.height"))
+    return met.withColumn("box", place).select(*regions.columns)
+
+
 #: An anchor with its target, and any other tag.
 ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
 

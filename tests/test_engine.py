@@ -15,6 +15,7 @@ from inkveil.operators.model_text import text_requests
 from inkveil.operators.patterns import detect_patterns
 from inkveil.operators.prompts import TEXT_SYSTEM
 from inkveil.options import GridOptions, RedactOptions
+from inkveil.plans import queries
 from inkveil.plans.pipeline import file_pages, redact, text_pages
 from inkveil.providers import CustomProvider, ScriptedProvider, ask
 from inkveil.sources import files
@@ -321,3 +322,25 @@ def test_stream_finds_what_a_table_does(spark, tmp_path):
     query.awaitTermination(60)
     assert sorted(r["target"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["email", "phone"]
     assert not re.search("failed", str(query.exception() or ""))
+
+
+def drawn(spark, folder, *texts):
+    """Pictures by document and page, before and after painting, of a table of these texts."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    images, regions, sizes = queries._drawn(spark, str(folder))
+    painted = paint.paint_pages(images, merge.pad_detections(regions, 2.0, sizes), "box")
+    return [{(r["doc_id"], r["page"]): raster.decode_png(bytes(r["image"])) for r in df.collect()} for df in (images, painted)]
+
+
+def test_text_beyond_a_row_is_drawn_and_painted(spark, tmp_path):
+    line = "word " * 38 + "far.away@example.com " + "more " * 60 + "last@example.com"
+    plain, covered = drawn(spark, tmp_path, "first\n\n" + line + "\nnext a@example.com")
+    before, after = plain[0, 0], covered[0, 0]
+    signs = [c for row in ("first", "", *(line[i : i + 200] for i in range(0, len(line), 200)), "next a@example.com") for c in (row.ljust(200))]
+    ink = (before[2::14][: len(signs) // 200, ::6] == 40).all(axis=2)
+    assert before.shape == (840, 1200, 3) and ink.ravel().tolist() == [c != " " for c in signs]
+    black = (after == 0).all(axis=2)
+    assert black[14 * 2, 6 * 190 : 1200].all() and black[14 * 3, 0 : 6 * 10].all()
+    at = line.index("last@") % 200
+    assert black[14 * (2 + line.index("last@") // 200), 6 * at : 6 * (at + 16)].all() and black[14 * 5, 6 * 5 : 6 * 18].all()
+    assert (after[~black] == before[~black]).all() and black.sum() < 4 * 16 * 6 * 30
