@@ -21,16 +21,17 @@ STYLE_WARNING = (
 
 
 def blank_pages(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Fixed-pitch pages drawn with one dark bar per word: doc_id, page, width, height, image. A stand-in for a renderer."""
+    """Fixed-pitch pages drawn with one dark bar per word: doc_id, page, width, height, image. Pages without lines stay white. A stand-in for a renderer."""
     row = F.struct("slot", "text")
-    drawn = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(sizes.select("doc_id", "page", "width", "height"), ["doc_id", "page"])
+    by = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    drawn = sizes.select("doc_id", "page", "width", "height").join(by, ["doc_id", "page"], "left")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # few pictures at a time in memory
             images = []
             for rows, width, height in zip(*(batch.column(c).to_pylist() for c in ("rows", "width", "height")), strict=True):
                 image = np.full((int(height), int(width), 3), 255, np.uint8)
-                for r in rows:
+                for r in rows or ():
                     ink = np.repeat(np.frombuffer(r["text"].encode("utf-32-le"), np.uint32) != 32, 6)
                     ink[5::6] = False
                     y = 14 * r["slot"]

@@ -365,15 +365,12 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pictures of pages, the regions to cover, and the sizes. Long lines are wrapped, in pictures and boxes alike."""
+    """Pictures of all pages, the regions to cover, and the sizes. Long lines are wrapped, in pictures and boxes alike."""
     docs = _table(spark, sf_dir, "documents")
     lines = text_layout.text_lines(docs)
     regions = merge.merge_detections(patterns.detect_patterns(lines, resolve_targets(["email", "phone"])))
-    # Only pages that have something to cover are drawn: drawing is what the test data cannot give.
-    wanted = regions.select("doc_id", "page").distinct()
     sizes = text_layout.wrapped_sizes(docs)
-    rows = text_layout.wrapped_lines(lines.join(wanted, ["doc_id", "page"], "left_semi"), sizes)
-    return paint.blank_pages(rows, sizes), text_layout.wrapped_boxes(regions, sizes), sizes
+    return paint.blank_pages(text_layout.wrapped_lines(lines, sizes), sizes), text_layout.wrapped_boxes(regions, sizes), sizes
 
 
 def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -344,3 +344,13 @@ def test_text_beyond_a_row_is_drawn_and_painted(spark, tmp_path):
     at = line.index("last@") % 200
     assert black[14 * (2 + line.index("last@") // 200), 6 * at : 6 * (at + 16)].all() and black[14 * 5, 6 * 5 : 6 * 18].all()
     assert (after[~black] == before[~black]).all() and black.sum() < 4 * 16 * 6 * 30
+
+
+def test_pages_without_regions_are_drawn(spark, tmp_path):
+    texts = ("no address here", "mail a@example.com" + "\n" * 60 + "second page", "", "top" + "\n" * 130)
+    plain, covered = drawn(spark, tmp_path, *texts)
+    assert set(plain) == set(covered) == {(0, 0), (1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (3, 2)}
+    assert all((plain[k] == covered[k]).all() == (k != (1, 0)) for k in plain)
+    assert all((plain[k] == 255).all() == (k in {(2, 0), (3, 1), (3, 2)}) for k in plain)
+    for name, n in (("paint_blur", 7), ("grid_overlay", 7), ("build_pdf", 4)):
+        assert queries.queries()[name](spark, str(tmp_path)).count() == n
