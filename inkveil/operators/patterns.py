@@ -7,6 +7,9 @@ before any box is looked up.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from inkveil.functions.geometry import union_all
 from inkveil.functions.text import BLANK, matches, trimmed
 from inkveil.operators.layout import words_in_range
 from inkveil.sources.text_layout import mono_words
-from inkveil.targets import EDGE, URLS, Target
+from inkveil.targets import EDGE, URL_SIGNS, URLS, Target
 
 #: Targets that never count inside a web address.
 NOT_IN_URLS = ("phone", "dob")
@@ -49,18 +52,20 @@ def guard(target_id: str, raw: Column, line: Column, start: Column) -> Column:
     return F.lit(True)
 
 
+def _has_one(text: Column, signs: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.instr(text, s) > 0 for s in signs])
+
+
 def url_ranges(text: Column) -> Column:
     """(start, end) of all web addresses of a line; lines without their signs are not searched."""
     found = F.flatten(F.array(*[matches(text, p) for p in URLS]))
     spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["raw"])).alias("end")))
-    return F.when(F.instr(text, ".") > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(_has_one(text, URL_SIGNS), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def _worth(target: Target, text: Column) -> Column:
     """A cheap test that every line with a match passes."""
-    worth = F.lit(True)
-    for sign in target.needs:
-        worth = worth & (F.instr(text, sign) > 0)
+    worth = _has_one(text, target.needs) if target.needs else F.lit(True)
     if target.id == "phone" and target.patterns:
         worth = worth & text.rlike("[0-9]{2}[^0-9]{0,3}[0-9]{2}")
     if target.id == "email":

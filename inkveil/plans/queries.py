@@ -16,7 +16,7 @@ from inkveil.options import GridOptions
 from inkveil.plans import pipeline
 from inkveil.sources import files, text_layout
 from inkveil.sources.tables import read_table
-from inkveil.targets import BUILTIN, SOCIAL, URL_BARE, URL_EXPLICIT, URL_PATH, Target, resolve_targets
+from inkveil.targets import BUILTIN, SOCIAL, URL_BARE, URL_EXPLICIT, URL_PATH, URL_SIGNS, Target, resolve_targets
 
 #: Lines for shapes that the tables lack; ids below zero.
 LITERALS = [
@@ -405,6 +405,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own |= {f"detect_{t}": _detect(_documents, [t]) for t in ("email", "phone", "social", "dob")}
     own |= {"detect_phone_unguarded": _detect(_documents, ["phone"], guarded=False), "custom_target": _detect(_documents, [CUSTOM])}
     shapes = {"explicit": URL_EXPLICIT, "path": URL_PATH, "bare": URL_BARE}
-    own |= {f"detect_url_{k}": _detect(_web, [Target("url", "", (p,), needs=".")]) for k, p in shapes.items()}
+    own |= {f"detect_url_{k}": _detect(_web, [Target("url", "", (p,), needs=URL_SIGNS)]) for k, p in shapes.items()}
     own |= {f"links_{k}": _links(p) for k, p in (("keep", "keep"), ("identifying", "redact-identifying"), ("all", "redact-all"))}
     return own | {f"paint_{s}": _paint(s) for s in ("box", "label", "pixelate", "blur")}

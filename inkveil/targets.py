@@ -41,17 +41,19 @@ _HOST = r"(?<![@A-Za-z0-9_.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+"
 URL_PATH = rf"(?i){_HOST}[a-z]{{2,}}/[^\s<>\"')\]]*"
 URL_BARE = rf"(?i){_HOST}(?:{'|'.join(BARE_ENDINGS)}){EDGE}"
 URLS = (URL_EXPLICIT, URL_PATH, URL_BARE)
+#: Every address has one of these: one with a scheme needs no dot.
+URL_SIGNS = (".", "://")
 
 
 @dataclass(frozen=True)
 class Target:
-    """One kind of identifier. ``needs`` names characters that every match of the patterns has."""
+    """One kind of identifier. ``needs`` has strings of which every match of the patterns has one; none means any text."""
 
     id: str
     description: str
     patterns: tuple[str, ...] = ()
     visual_only: bool = False
-    needs: str = ""
+    needs: tuple[str, ...] = ()
 
     def __post_init__(self):
         if "+" in self.id or not self.id:
@@ -60,11 +62,11 @@ class Target:
 
 _TARGETS = (
     Target("name", "The person's own name, in headings, footers and signatures. Not names of firms, schools, tools or other people."),
-    Target("email", "Email addresses of the person.", (EMAIL,), needs="@"),
+    Target("email", "Email addresses of the person.", (EMAIL,), needs=("@",)),
     Target("phone", "Telephone and mobile numbers with their country codes.", (PHONE,)),
     Target("address", "The person's postal address: street, town, region, postcode, country. Not the place of a firm or school."),
-    Target("social", "Profile links and handles on social, code and portfolio sites.", (SOCIAL,), needs="/"),
-    Target("url", "Web addresses that lead to the person.", URLS, needs="."),
+    Target("social", "Profile links and handles on social, code and portfolio sites.", (SOCIAL,), needs=("/",)),
+    Target("url", "Web addresses that lead to the person.", URLS, needs=URL_SIGNS),
     Target("photo", "A photograph of the person. Not a logo, an icon or a chart.", visual_only=True),
     Target("signature", "A signature by hand.", visual_only=True),
     Target("dob", "Date of birth or age.", (DOB,)),

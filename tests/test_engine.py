@@ -15,13 +15,14 @@ from inkveil.operators.model_text import text_requests
 from inkveil.operators.patterns import detect_patterns
 from inkveil.operators.prompts import TEXT_SYSTEM
 from inkveil.options import GridOptions, RedactOptions
-from inkveil.plans import queries
+from inkveil.plans import oracle, queries
 from inkveil.plans.pipeline import file_pages, redact, text_pages
 from inkveil.providers import CustomProvider, ScriptedProvider, ask
 from inkveil.sources import files
 from inkveil.sources.text_layout import html_links, text_lines
 from inkveil.streaming.stream import read_stream, redact_stream
 from inkveil.targets import Target, resolve_targets
+from tests.compare import check
 
 SAMPLE = """Priya Sharma
 Senior Engineer
@@ -354,3 +355,14 @@ def test_pages_without_regions_are_drawn(spark, tmp_path):
     assert all((plain[k] == 255).all() == (k in {(2, 0), (3, 1), (3, 2)}) for k in plain)
     for name, n in (("paint_blur", 7), ("grid_overlay", 7), ("build_pdf", 4)):
         assert queries.queries()[name](spark, str(tmp_path)).count() == n
+
+
+def test_addresses_without_a_dot(spark, tmp_path):
+    assert found(spark, "see http://intranet/~jane and http://localhost:8080/cv", "url") == [("url", "http://intranet/~jane"), ("url", "http://localhost:8080/cv")]
+    assert found(spark, "http://intranet/987654321012 or 987654321013", "phone") == [("phone", "987654321013")]
+    assert found(spark, "http://intranet/01-02-1990 and 03-04-1991", "dob") == [("dob", "03-04-1991")]
+    texts = ["see http://intranet/~jane", "http://intranet/987654321012"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, "http://host/", t) for n, t in enumerate(texts)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("detect_url_explicit", "url_veto_antijoin", "detect_phone", "detect_dob", "redact_documents"):
+        check(spark, queries.queries()[name], oracle.oracle_sql()[name], str(tmp_path))
