@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from inkveil.functions.geometry import box
 
 CELL = "struct<col:int,row:int>"
+#: Letters of the last index that a long holds.
+LONGEST = 14
 
 
 def column_label(index: Column) -> Column:
-    """A to Z, AA to ZZ, AAA to ZZZ, for an index from 0: each length starts where the shorter ones end."""
-    digit = lambda v: F.chr(65 + (v.cast("long") % 26))
-    two, three = index - 26, index - 26 - 26 * 26
-    return (
-        F.when(index < 26, digit(index))
-        .when(two < 26 * 26, F.concat(digit(F.floor(two / 26)), digit(two)))
-        .otherwise(F.concat(digit(F.floor(three / 676)), digit(F.floor(three / 26)), digit(three)))
-    )
+    """A to Z, AA to ZZ, AAA and so on, for an index from 0: base 26 without a zero, of any length."""
+    state = F.struct(index.cast("long").alias("rest"), F.lit("").alias("label"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = F.struct((F.call_function("div", s["rest"], F.lit(26)) - 1).alias("rest"), F.concat(F.chr(65 + s["rest"] % 26), s["label"]).alias("label"))
+        return F.when(s["rest"] >= 0, more).otherwise(s)
+
+    label = F.aggregate(F.sequence(F.lit(1), F.lit(LONGEST)), state, step, lambda s: s["label"])
+    return F.when(index.isNotNull(), label)
 
 
 def column_index(label: Column) -> Column:
     """The index of a label in any case; -1 for anything but letters."""
     up = F.upper(label)
-    value = F.aggregate(F.filter(F.split(up, ""), lambda c: c != ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
+    value = F.aggregate(F.filter(F.split(up, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a * 26 + (F.ascii(c) - 64))
     return F.when(up.rlike("^[A-Z]+$"), value - 1).otherwise(F.lit(-1))
 
 

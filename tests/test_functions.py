@@ -62,6 +62,15 @@ def test_column_labels(spark):
     assert all(r["a"] == label_of(r["id"]) and r["b"] == r["id"] for r in got if r["id"] < 18278)
 
 
+def test_long_column_labels(spark):
+    ends = [18278 - 1, 475254 - 1, 12356630 - 1, 321272406 - 1, 2**53, 2**63 - 3]
+    ids = [*range(18270, 19000), *(i + k for i in ends for k in (-1, 0, 1)), None]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = df.select("id", column_label(F.col("id")).alias("a")).select("id", "a", column_index(F.col("a")).alias("b")).collect()
+    assert all((r["a"], r["b"]) == (label_of(r["id"]), r["id"]) for r in got if r["id"] is not None)
+    assert [r["a"] for r in got if r["id"] in (18278, None)] == ["AAAA", "AAAA", None]
+
+
 def test_cells(spark):
     df = spark.createDataFrame([(x,) for x in ("C4", " c 4 ", "aa10", "A0", "4C", "ABCD1", "", None)], "c string")
     got = [r[0] and (r[0]["col"], r[0]["row"]) for r in df.select(parse_cell(F.col("c"))).collect()]
