@@ -5,8 +5,8 @@ learns each bit. A text's bits are decoded to the language whose codeword costs
 least, every bit weighing as much as it proved right in training, so some wrong
 bits are corrected. A small gap between the two cheapest flags ambiguity.
 
-Training takes at most PER_LANGUAGE texts of each language, those whose ids
-have the smallest hashes; prediction reads every text whole. Only text enters a
+Every language is learned. Training takes at most PER_LANGUAGE texts of each,
+and fewer once all would be over TRAINING: those whose ids have the smallest hashes; prediction reads every text whole. Only text enters a
 prediction.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; no
@@ -23,14 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import prepare, spread, widened
 
 #: Training texts of each language, at most.
 PER_LANGUAGE = 500
-#: Languages, at most: the most frequent ones.
-LANGUAGES = 64
+#: Training texts of all languages, at most, but one of each in any case: many languages get fewer each.
+TRAINING = 64 * PER_LANGUAGE
 #: Hashed features.
 FEATURES = 4096
 #: Probability gap between the best two below which a text is ambiguous.
@@ -116,18 +117,16 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """A model from at most PER_LANGUAGE rows of each language of df."""
+    """A model of all languages of df, from at most PER_LANGUAGE rows of each."""
     prepare(df.sparkSession)
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     slim = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    langs = [r["lang"] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    picked = None
-    for lang in langs:
-        some = slim.filter(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(PER_LANGUAGE)
-        picked = some if picked is None else picked.union(some)
-    if picked is None:
+    langs = slim.select("lang").distinct().count()
+    if not langs:
         return fit(np.zeros((0, FEATURES), dtype=np.float32), [])
-    ids = F.broadcast(picked.select("id").distinct())  # LANGUAGES * PER_LANGUAGE rows at most
+    most = max(1, min(PER_LANGUAGE, TRAINING // langs))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # cut to the first of each partition before the shuffle
+    ids = F.broadcast(slim.withColumn("rank", rank).filter(F.col("rank") <= most).select("id").distinct())
     sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sample = sample.join(ids, sample["id"].eqNullSafe(ids["id"]), "left_semi").select("lang", "text")
 
@@ -136,7 +135,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
             x = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sample.mapInArrow(counted, "lang string, x binary").limit(2 * PER_LANGUAGE * len(langs)).collect()
+    got = sample.mapInArrow(counted, "lang string, x binary").limit(2 * most * langs).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]) if got else np.zeros((0, FEATURES), dtype=np.float32)
     return fit(x, [r["lang"] for r in got])

@@ -193,6 +193,16 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(df.filter("lang = 'fr'"), only).collect()} == {"fr"}
 
 
+def test_all_of_many_languages_are_learned(spark):
+    names = {f"l{k:02}": "".join(chr(0x400 + 13 * k + d) for d in range(12)) for k in range(70)}
+    rows = [(n, " ".join([word] * (3 + n % 3)), lang) for n, (lang, word) in enumerate(x for x in names.items() for _ in range(4 if x[0] < "l64" else 3))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df)
+    assert set(model.languages) == set(names)
+    got = language_id.identify(df.filter("lang >= 'l64'"), model).collect()
+    assert any(r["lang_pred"] == r["row"]["lang"] for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 20])
 def test_codewords_differ(n):
     code = language_id.codewords(n)
