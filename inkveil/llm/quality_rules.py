@@ -1,9 +1,9 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Each line is judged alone: does it end as a sentence does, is it navigation or
-a separator, is it boilerplate? Failing lines are removed, and a document is
-rejected when the removed lines hold too much of its words. Text-wide rules
-come before: too few words, and too many words inside repeated 5-word windows.
+Each line is judged alone: are over a tenth of it the signs #*$%&|<>, is it
+navigation with bars on one line, is it stutter, is it boilerplate? How a line
+ends is not asked, and rows of other signs pass. A document is rejected when
+its failing lines hold too much of its words. Text-wide rules come before: too few words, and too many words inside repeated 5-word windows.
 
 Everything is an expression over one row, so there is no shuffle and no group.
 Repeated windows are found without comparing all pairs: the windows' hashes are
