@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.sources.tables import partitions, spread  # noqa: F401  (used by the operators)
+from inkveil.sources.tables import partitions, plain_scan, spread  # noqa: F401  (used by the operators)
 
 #: Rows per Arrow batch; long texts make larger batches costly in memory.
 ARROW_ROWS = 512
@@ -51,6 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df with equal partitions in equal order whenever it is read: a plain scan as it is, anything else written first."""
+    return df if plain_scan(df) else cut(df)
+
+
 def numbered(names: list[str], wanted: str) -> str:
     """wanted, or wanted with a number, so that it clashes with none of names (in any case)."""
     low = {n.lower() for n in names}

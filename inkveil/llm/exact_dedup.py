@@ -9,13 +9,21 @@ again by the next bits, and a bucket that fits is resolved in an open-addressing
 table whose probes compare complete contents. The table stores distinct texts
 only, so repeats never make a bucket too large.
 
+Every row's label comes by its digest. The rows' ids travel as lists, one for a
+digest and a part of a partition, and are written to the shared folder before
+anything reads them twice: which list has the row that stays is decided on that
+one written copy, so nothing hangs on the order in which rows arrive. The lists
+of one text in a third of all rows are that many times fewer than its rows; what
+is left of the skew in their join is split by adaptive execution alone.
+
 Spill files are anonymous (already unlinked), private to one task and gone with
 it; a task that is run again writes them anew, so no other task depends on them.
 
 Defined cases: null text counts as empty; a null id loses to any other id; of
-rows with equal text and equal id exactly one is kept; an empty table gives an
-empty result; other columns pass through untouched inside ``row``. The input
-must give the same rows in the same order when read again, as a table does.
+rows with equal text and equal id exactly one is kept, whichever; texts of any
+length and any bytes are compared whole, also bytes that are no UTF-8; an empty
+table gives an empty result; other columns pass through untouched inside
+``row``, whatever their names, and count for the memory that a bucket may take.
 """
 
 from __future__ import annotations
@@ -31,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import prepare, spread
+from inkveil.llm.common import cut, prepare, spread
 
-#: Bytes of distinct texts that one table holds before its bucket is partitioned again.
+#: Bytes of distinct texts and their rows that one table holds before its bucket is partitioned again.
 TABLE_BYTES = 20 << 20
 #: Buckets per level, as bits of the hash.
 FAN_BITS = 4
+#: Ids that a task gathers before it sends their lists on.
+MEMBERS = 100_000
 #: SHA-256 has so many levels of FAN_BITS; deeper there is nothing left to split by.
 MAX_LEVEL = 256 // FAN_BITS
 
@@ -52,8 +62,8 @@ def _digests(batch: pa.RecordBatch) -> list[bytes]:
 class OpenTable:
     """Linear probing over a power-of-two slot array; entries hold whole records.
 
-    Of equal contents the record with the largest (id, uid) represents the
-    class. ``add`` says False when a new content would exceed the byte limit.
+    Of equal contents the record with the largest id represents the class.
+    ``add`` says False when a new content would exceed the byte limit.
     """
 
     def __init__(self, limit: int):
@@ -62,7 +72,7 @@ class OpenTable:
         self.hashes: list[bytes] = []
         self.texts: list[bytes] = []
         self.best: list[tuple[pa.RecordBatch, int] | None] = []
-        self.rank: list[tuple[bool, int, int]] = []
+        self.rank: list[tuple[bool, int]] = []
         self.count: list[int] = []
 
     def _probe(self, sha: bytes, text: bytes) -> int:
@@ -83,11 +93,12 @@ class OpenTable:
                 at = (at + 1) & mask
             self.slots[at] = entry
 
-    def add(self, sha: bytes, text: bytes, rank: tuple[bool, int, int], n: int, touched: dict[int, int], i: int) -> bool:
+    def add(self, sha: bytes, text: bytes, rank: tuple[bool, int], n: int, row_bytes: int, touched: dict[int, int], i: int) -> bool:
         at = self._probe(sha, text)
         entry = self.slots[at]
         if entry < 0:
-            if self.bytes + len(text) > self.limit and self.texts:
+            size = len(text) + max(row_bytes, len(text)) + 64  # the text is held twice: here and in its row
+            if self.bytes + size > self.limit and self.texts:
                 return False
             if 2 * len(self.texts) >= len(self.slots):
                 self._grow()
@@ -98,7 +109,7 @@ class OpenTable:
             self.rank.append(rank)
             self.best.append(None)
             self.count.append(n)
-            self.bytes += len(text) + 64
+            self.bytes += size
             touched[len(self.texts) - 1] = i
         else:
             self.count[entry] += n
@@ -108,11 +119,17 @@ class OpenTable:
         return True
 
     def keep(self, batch: pa.RecordBatch, touched: dict[int, int]) -> None:
-        """Copies the touched entries' records out, so that the batch can go."""
-        if touched:
-            own = batch.take(pa.array(list(touched.values())))
-            for at, entry in enumerate(touched):
-                self.best[entry] = (own, at)
+        """Copies the touched entries' records out, so that the batch can go.
+
+        New entries share a batch, as all of it stays. One that replaces a record
+        gets a batch of its own, or others would hold on to what it replaced.
+        """
+        fresh = [entry for entry in touched if self.best[entry] is None]
+        own = batch.take(pa.array([touched[e] for e in fresh], pa.int64())) if fresh else None
+        for at, entry in enumerate(fresh):
+            self.best[entry] = (own, at)
+        for entry in touched.keys() - set(fresh):
+            self.best[entry] = (batch.take(pa.array([touched[entry]])), 0)
 
 
 class Bucket:
@@ -162,7 +179,7 @@ def _fan(batches: Iterator[pa.RecordBatch], level: int, limit: int) -> list[Buck
 
 
 def resolve(batches: Iterator[pa.RecordBatch], text_at: str, limit: int = TABLE_BYTES, level: int = 0) -> Iterator[pa.RecordBatch]:
-    """One record for each distinct content, with summed counts. Columns: sha, n, id, uid, row."""
+    """One record for each distinct content, with summed counts. Columns: sha, n, id, row."""
     held = Bucket(limit)
     opened = OpenTable(limit if level < MAX_LEVEL else 1 << 62)
     over = False
@@ -171,11 +188,11 @@ def resolve(batches: Iterator[pa.RecordBatch], text_at: str, limit: int = TABLE_
         if over:
             continue
         texts = _contents(batch.column("row").field(text_at))
-        ids, uids, ns = (batch.column(c).to_pylist() for c in ("id", "uid", "n"))
+        ids, ns = (batch.column(c).to_pylist() for c in ("id", "n"))
+        row_bytes = batch.nbytes // max(1, batch.num_rows)
         touched: dict[int, int] = {}
         for i, (sha, text) in enumerate(zip(_digests(batch), texts, strict=True)):
-            rank = (ids[i] is not None, ids[i] or 0, uids[i])
-            if not opened.add(sha, text, rank, ns[i], touched, i):
+            if not opened.add(sha, text, (ids[i] is not None, ids[i] or 0), ns[i], row_bytes, touched, i):
                 over = True
                 break
         else:
@@ -204,18 +221,37 @@ def _records(opened: OpenTable) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _start(batches: Iterator[pa.RecordBatch], id_at: str, text_at: str, carry: bool) -> Iterator[pa.RecordBatch]:
-    """Adds sha, n, id and uid to each row; uid is the partition and the place in it."""
-    uid = TaskContext.get().partitionId() << 33
+def _start(batches: Iterator[pa.RecordBatch], id_at: str, text_at: str) -> Iterator[pa.RecordBatch]:
+    """Adds sha, id and n to each row."""
     for batch in batches:
         row = batch.column("row")
         shas = [hashlib.sha256(t).digest() for t in _contents(row.field(text_at))]
-        uids = np.arange(uid, uid + batch.num_rows, dtype=np.int64)
-        uid += batch.num_rows
-        arrays = {"sha": pa.array(shas, pa.binary()), "id": row.field(id_at).cast(pa.int64()), "uid": pa.array(uids)}
-        if carry:
-            arrays |= {"n": pa.array(np.ones(batch.num_rows, np.int64)), "row": row}
-        yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+        ones = pa.array(np.ones(batch.num_rows, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(shas, pa.binary()), row.field(id_at).cast(pa.int64()), ones, row], names=["sha", "id", "n", "row"])
+
+
+def _members(batches: Iterator[pa.RecordBatch], id_at: str, text_at: str) -> Iterator[pa.RecordBatch]:
+    """(sha, part, ids): the ids of rows with one digest, of up to MEMBERS rows of this task together. part tells lists apart."""
+    part = TaskContext.get().partitionId() << 33
+    held: dict[bytes, list[int | None]] = {}
+    n = 0
+
+    def sent() -> pa.RecordBatch:
+        parts = np.arange(part, part + len(held), dtype=np.int64)
+        ids = pa.array(list(held.values()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(parts), ids], names=["sha", "part", "ids"])
+
+    for batch in batches:
+        row = batch.column("row")
+        for text, own in zip(_contents(row.field(text_at)), row.field(id_at).cast(pa.int64()).to_pylist(), strict=True):
+            held.setdefault(hashlib.sha256(text).digest(), []).append(own)
+        n += batch.num_rows
+        if n >= MEMBERS:
+            yield sent()
+            part, n = part + len(held), 0
+            held.clear()
+    if held:
+        yield sent()
 
 
 def _base(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -224,20 +260,19 @@ def _base(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """One row per distinct text: sha, n (rows that have it), id and uid of the row that stays, and that row."""
+    """One row per distinct text: sha, id of the row that stays, n (rows that have the text), and that row."""
     base = _base(df, columns or df.columns)
     schema = T.StructType(
         [
             T.StructField("sha", T.BinaryType()),
             T.StructField("id", T.LongType()),
-            T.StructField("uid", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("row", base.schema["row"].dataType),
         ]
     )
 
     def within(batches):
-        yield from resolve(_start(batches, id_col, text_col, True), text_col)
+        yield from resolve(_start(batches, id_col, text_col), text_col)
         pa.default_memory_pool().release_unused()  # workers live on after the task
 
     def across(batches):
@@ -250,13 +285,15 @@ def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: id, sha, keep_id, group_size, kept. Equal texts share a group; the largest id stays."""
     base = _base(df, [id_col, text_col])
-    rows = base.mapInArrow(lambda b: _start(b, id_col, text_col, False), "sha binary, id long, uid long")
-    groups = distinct_texts(df, id_col, text_col, [id_col, text_col]).select(
-        "sha", F.col("id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.col("n").alias("group_size")
-    )
-    return rows.join(groups, "sha").select(
-        F.col("id"), "sha", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept")
-    )
+    lists = cut(base.mapInArrow(lambda b: _members(b, id_col, text_col), "sha binary, part long, ids array<long>"))
+    groups = distinct_texts(df, id_col, text_col, [id_col, text_col]).select("sha", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
+    # Of the lists with the largest id, the last one has the row that stays: its first with that id.
+    most = F.array_max("ids")  # null where all ids are
+    last = lists.groupBy("sha").agg(F.max(F.struct(most.isNotNull().alias("known"), most.alias("id"), "part")).alias("last"))
+    met = lists.join(groups.join(last.select("sha", F.col("last.part").alias("last")), "sha"), "sha")
+    first = F.coalesce(F.array_position("ids", F.col("keep_id")) - 1, F.lit(0))
+    rows = met.select("sha", "keep_id", "group_size", F.when(F.col("part") == F.col("last"), first).otherwise(-1).alias("stays"), F.posexplode("ids").alias("at", "id"))
+    return rows.select("id", "sha", "keep_id", "group_size", (F.col("at") == F.col("stays")).alias("kept"))
 
 
 def dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

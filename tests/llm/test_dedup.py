@@ -48,6 +48,14 @@ def test_one_of_equal_rows_stays_with_all_its_columns(spark):
     assert rows.schema == df.schema and sorted((r["doc_id"] or 0, r["text"]) for r in rows.collect()) == [(0, "y"), (1, "x")]
 
 
+def test_null_ids_of_one_text_keep_one_row(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMBERS", 2)
+    pairs = [(None, "y")] * 7 + [(3, "z"), (3, "z"), (None, "z"), (3, "z"), (2, "z")]
+    got = exact_dedup.exact_dedup(table(spark, pairs)).collect()
+    assert sorted((r["keep_id"] or 0, r["group_size"], r["kept"]) for r in got) == [(0, 7, False)] * 6 + [(0, 7, True)] + [(3, 5, False)] * 4 + [(3, 5, True)]
+    assert all(r["id"] == 3 for r in got if r["kept"] and r["keep_id"])
+
+
 def test_no_rows(spark):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0 and exact_dedup.dedup_rows(table(spark, [])).count() == 0
 
