@@ -91,17 +91,29 @@ def slow_scores(pairs, order):
     return sorted(out)
 
 
-@pytest.mark.parametrize("order", [1, 2, 4])
-def test_scores_of_any_order(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "group_bits"), [(1, 10), (2, 1), (3, 10), (4, 1)])
+def test_scores_of_any_order(spark, monkeypatch, order, group_bits):
+    """Also with tables of two partitions only, so that counts go up and down several levels."""
     monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(lm_scoring, "GROUP_BITS", group_bits)
     rng = random.Random(order)
     pairs = ODD + [(100 + i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 40)))) for i in range(150)]
-    got = sorted((r["doc_id"] or 0, r["n_words"], r["score_micro"] / 1e6) for r in lm_scoring.lm_scores(table(spark, pairs), order=order).collect())
+    assert len(lm_scoring.levels(8)) == (1 if group_bits == 10 else 3)
+    df = table(spark, pairs).repartition(8).checkpoint()
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["score_micro"] / 1e6) for r in lm_scoring.lm_scores(df, order=order).collect())
     for a, b in zip(got, slow_scores(pairs, order), strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * (a[1] + 1)
     assert lm_scoring.lm_scores(table(spark, [])).count() == 0
 
 
+def test_scores_of_a_shuffled_frame_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TEXT_PART", 64)
+    pairs = [(i, f"some words {i % 7} and others {i % 11}") for i in range(200)] + [(999, "a long text " * 5000)]
+    got = sorted((r["doc_id"], r["n_words"], r["score_micro"] / 1e6) for r in lm_scoring.lm_scores(table(spark, pairs).repartition(5)).collect())
+    for a, b in zip(got, slow_scores(pairs, 3), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 * (a[1] + 1)
+
+
 TURNS = [
     ("c", 0, "system", "Be kind <|end|>", "x"), ("c", 1, "ann", "Hello", "x"), ("c", 2, "bob lee", "Hi Ann", "x"), ("c", 300, "ann", None, "x"),
     ("c", 2, "bob lee", "Hi Ann", "x"), ("d", 0, "system", "alone", "x"), (None, None, None, "lost", "x"), ("e", 5, "ann", "é😀", "x"),
