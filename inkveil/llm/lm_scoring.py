@@ -52,7 +52,7 @@ from inkveil.llm.common import cut, partitions, prepare, stable
 ORDER = 3
 BACKOFF = 0.4
 #: Words of a block; a block holds one whole document at least.
-BLOCK_WORDS = 1_250_000
+BLOCK_WORDS = 1_750_000
 #: Partitions, or groups of them, whose n-grams meet in one count table, as a power of two.
 GROUP_BITS = 10
 #: Hash ranges for each partition of a group.
