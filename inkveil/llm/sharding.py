@@ -1,25 +1,34 @@
 """Sharding by vector bin packing.
 
 Shards shall have near equal bytes, tokens and rows at once. Rows with equal
-texts form a group, which goes to one shard; a group of very many rows or bytes is
-split into parts, as no shard could hold a third of all rows. Groups are dealt to
-cells by hash. Each cell packs its groups into as many bins as there are shards,
-large ones first, each where the dot product of its vector with the residual
-capacity is highest. Then the cells' bins, a few numbers each, are packed into
-shards the same way, one bin of each cell to a shard, FAN cells at a time and
-the results again until one set is left. No task holds more than its cell's
-rows, as four numbers each, or FAN cells' bins.
-
-The law kept is ``bytes``. Slots number a shard's rows without gaps: a prefix
-sum over its bins, then the place in the bin.
+texts form a group, which goes to one shard whole. Only a group with over
+SPLIT_ABOVE of a mean shard's bytes or rows is split, into parts of PART at most
+on average, as no shard could hold it beside anything else.
+
+Groups are placed large ones first, each in the shard where the dot product of
+its vector with the residual capacity is highest. That order is kept by classes:
+a class has the groups whose largest share of a shard is within a factor of
+CLASS, so the first has at most 3 * CLASS groups for each shard, whatever the
+input. Within a class, groups are dealt to cells by hash. A cell packs its own
+against its part of the residual capacity that all classes before have left; a
+class's loads, a few numbers a shard, are known before the next begins. No task
+holds more than one cell's groups, as three numbers each.
+
+The law kept is ``bytes``. Rows of the first class find their shard by a broadcast
+of that bounded class, so no hot text meets in one task; the others by a join.
+Slots number a shard's rows without gaps: a prefix sum over the written
+partitions, then the place in the partition.
 
 Defined cases: null text has no bytes, and null texts form a group with empty
-ones; rows that repeat an id get a slot each; null ids are allowed; an empty
-table gives an empty result.
+ones; texts of any length count whole, and one longer than a mean shard makes its
+shard larger; rows that repeat an id get a slot each, and null ids are allowed, as
+parts go by row; ties go to the first shard, in an order of shards that each cell has of its own;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,92 +41,57 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import cut, prepare
 
 SHARDS = 40
-#: Rows and bytes of one part of a group.
-GROUP_ROWS, GROUP_BYTES = 64, 128 << 10
-#: Rows of a cell, and cells at most; beyond them cells grow.
-CELL_ROWS, CELLS = 10_000, 20_000
-#: Cells whose bins are packed together.
-FAN = 1024
+#: Shares of a mean shard: a group above the first is split into parts of the second, on average.
+SPLIT_ABOVE, PART = 0.9, 0.45
+#: Factor between the largest and the smallest group of a class.
+CLASS = 64
+#: Groups of a cell, on average.
+CELL_GROUPS = 10_000
 #: Bytes that a row costs beside its text.
 ROW_BYTES = 16
+VECTOR = ("size", "tokens", "n")
 
 
-def place(vectors: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each vector (bytes, tokens, rows): large ones first, each by the highest dot product with what is left."""
+def place(vectors: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bin of each vector: large ones first, each by the highest dot product with what is left of the bins' capacity."""
     out = np.zeros(len(vectors), dtype=np.int64)
-    if not len(vectors):
-        return out
-    unit = vectors / np.maximum(vectors.sum(axis=0), 1)
-    left = np.full((bins, vectors.shape[1]), 1.0 / bins)
-    for i in np.argsort(-unit.max(axis=1), kind="stable"):
-        k = int(np.argmax(left @ unit[i]))
+    left = left.copy()
+    for i in np.argsort(-vectors.max(axis=1), kind="stable") if len(vectors) else ():
+        k = int(np.argmax(left @ vectors[i]))
         out[i] = k
-        left[k] -= unit[i]
+        left[k] -= vectors[i]
     return out
 
 
-def match(cells: list[np.ndarray]) -> list[np.ndarray]:
-    """For each cell's bins (rows of vectors) a permutation: the largest bin where most is left, each shard once."""
-    bins = len(cells[0])
-    total = np.maximum(sum(c.sum(axis=0) for c in cells), 1)
-    load = np.zeros((bins, cells[0].shape[1]))
-    done: list[np.ndarray] = [np.zeros(0)] * len(cells)
-    spread = [np.ptp(c[:, 0]) for c in cells]
-    for at in np.argsort(-np.array(spread), kind="stable"):
-        unit = cells[at] / total
-        left = load.max(axis=0) - load
-        to = np.full(bins, -1)
-        free = np.ones(bins, dtype=bool)
-        for b in np.argsort(-unit[:, 0], kind="stable"):
-            value = np.where(free, left @ unit[b], -np.inf)
-            k = int(np.argmax(value)) if value.max() > 0 else int(np.flatnonzero(free)[np.argmax(left[free][:, 0])])
-            to[b], free[k] = k, False
-        load[to] += unit
-        done[at] = to
-    return done
-
-
-def _packed(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
-    cell, got = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    h, part, size, tokens = (t.column(c).to_numpy() for c in ("h", "part", "size", "tokens"))
-    order = np.lexsort((part, h))
-    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (part[order][1:] != part[order][:-1])]
-    group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    sums = [np.bincount(group, weights=w) for w in (size, tokens, np.ones(len(size)))]
-    to = place(np.stack(sums, axis=1), bins)[group]
-    by = np.argsort(to, kind="stable")
-    counts = np.bincount(to, minlength=bins)
-    place_in = np.empty(len(to), dtype=np.int64)
-    place_in[by] = np.arange(len(to)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = pa.table(
-        {"doc_id": t.column("doc_id"), "size": t.column("size"), "tokens": t.column("tokens"), "text_crc32": t.column("text_crc32"),
-         "cell": pa.array(np.full(len(to), cell, dtype=np.int64)), "bin": pa.array(to.astype(np.int32)), "place": pa.array(place_in)}
-    )
-    yield from out.to_batches(max_chunksize=50_000)
-
-
-def _matched(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
+def packed(vectors: np.ndarray, left: np.ndarray, turn: int) -> np.ndarray:
+    """place() of a cell's vectors against its part of what is left; bins are asked from bin turn on, so that no bin gets every cell's ties."""
+    own = left * (vectors.sum(axis=0) / np.maximum(left.sum(axis=0), 1e-300))
+    turn %= len(left)
+    return (place(vectors, np.roll(own, -turn, axis=0)) + turn) % len(left)
+
+
+def _placed(batches: Iterator[pa.RecordBatch], left: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    t = pa.Table.from_batches(got)
-    over, cell, bin_ = (t.column(c).to_numpy() for c in ("over", "cell", "bin"))
-    sums = np.stack([t.column(c).to_numpy().astype(float) for c in ("size", "tokens", "n")], axis=1)
-    for group in np.unique(over):
-        own = over == group
-        cells = np.unique(cell[own])
-        vectors = np.zeros((len(cells), bins, 3))
-        vectors[np.searchsorted(cells, cell[own]), bin_[own]] = sums[own]
-        tos = match(list(vectors))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cells) * bins, group, dtype=np.int64)), pa.array(np.repeat(cells, bins)),
-             pa.array(np.tile(np.arange(bins, dtype=np.int32), len(cells))), pa.array(np.concatenate(tos).astype(np.int32))],
-            names=["over", "cell", "bin", "to"],
-        )
+    t = pa.Table.from_batches(got).sort_by([("h", "ascending"), ("part", "ascending")])  # equal weights go by hash
+    vectors = np.stack([t.column(c).to_numpy() for c in VECTOR], axis=1) * unit
+    to = packed(vectors, left, TaskContext.get().partitionId())
+    yield from t.append_column("shard", pa.array(to.astype(np.int32))).to_batches(max_chunksize=50_000)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Adds the partition, and each row's place among its rows of one shard."""
+    task, seen = TaskContext.get().partitionId(), np.zeros(shards, dtype=np.int64)
+    for batch in batches:
+        to = batch.column("shard").to_numpy()
+        order = np.argsort(to, kind="stable")
+        counts = np.bincount(to, minlength=shards)
+        at = np.empty(len(to), dtype=np.int64)
+        at[order] = np.arange(len(to)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at += seen[to]
+        seen += counts
+        yield batch.append_column("task", pa.array(np.full(len(to), task, dtype=np.int64))).append_column("place", pa.array(at))
 
 
 def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,37 +101,54 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     rows = cut(
         df.select(
             F.col(id_col).cast("long").alias("doc_id"),
+            F.monotonically_increasing_id().alias("row"),
             F.xxhash64(text).alias("h"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long").alias("tokens"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         )
     )
-    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
-    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("all") / GROUP_BYTES)))
-    large = cut(groups.select("h", parts.alias("parts")).filter("parts > 1"))
-    salt = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.coalesce("parts", F.lit(1)))
-    parted = rows.join(large, "h", "left").select("doc_id", "h", "size", "tokens", "text_crc32", salt.alias("part"))
-    schema = "doc_id long, size long, tokens long, text_crc32 long, cell long, bin int, place long"
-    cells = min(CELLS, max(1, -(-rows.count() // CELL_ROWS)))
-    placed = cut(parted.repartition(cells, "h", "part").mapInArrow(lambda b: _packed(b, shards), schema))
-
-    bins = cut(placed.groupBy("cell", "bin").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
-    # Each round maps the cells' bins to bins of FAN times larger cells, until one cell is left: its bins are the shards.
-    now, found, level = bins, bins.select("cell", "bin", F.col("cell").alias("at"), F.col("bin").alias("shard")), 0
-    most = bins.agg(F.max("cell")).first()[0]
-    while most is not None:
-        grouped = now.withColumn("over", F.floor(F.col("cell") / FAN).cast("long")).repartition("over")
-        step = cut(grouped.mapInArrow(lambda b: _matched(b, shards), "over long, cell long, bin int, to int"))
-        own = step.select(F.col("cell").alias("at"), F.col("bin").alias("shard"), F.col("over").alias("next_at"), F.col("to").alias("next"))
-        found = found.join(own, ["at", "shard"]).select("cell", "bin", F.col("next_at").alias("at"), F.col("next").alias("shard"))
-        if most < FAN:
-            break
-        now = cut(now.join(step, ["cell", "bin"]).groupBy(F.col("over").alias("cell"), F.col("to").alias("bin")).agg(*[F.sum(c).alias(c) for c in ("size", "tokens", "n")]))
-        most, level = most // FAN, level + 1
-    order = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    bases = found.join(bins.select("cell", "bin", "n"), ["cell", "bin"]).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    bases = cut(bases.select("cell", "bin", "shard", "base"))
-    return placed.join(bases, ["cell", "bin"]).select(
+    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
+    whole = cut(rows.groupBy("h").agg(*sums))
+    totals = whole.agg(*[F.sum(c) for c in VECTOR]).first()
+    unit = np.array([shards / max(1, t or 0) for t in totals])  # a mean shard has 1 of each
+    most = lambda cols: F.greatest(*[F.col(c) * float(u) for c, u in cols])
+    share = most(zip(VECTOR, unit, strict=True))
+    weight = most([("size", unit[0]), ("n", unit[2])])
+    # Groups of the first class: 3 * CLASS for each shard at most, as each has 1 / CLASS of a shard's bytes, tokens or rows.
+    parts = F.when(weight > SPLIT_ABOVE, F.least("n", F.ceil(weight / PART))).otherwise(1).cast("int")
+    heavy = cut(whole.filter(share > 1 / CLASS).select("h", parts.alias("parts")))
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    hot = rows.join(F.broadcast(heavy), "h").withColumn("part", part).drop("parts")
+    cold = rows.join(F.broadcast(heavy.select("h")), "h", "left_anti")
+    level = F.greatest(F.lit(0), F.floor(-F.log(float(CLASS), share))).cast("int")
+    groups = hot.groupBy("h", "part").agg(*sums).withColumn("level", F.lit(0))
+    groups = cut(groups.unionByName(whole.filter(~(share > 1 / CLASS)).withColumn("part", F.lit(0)).withColumn("level", F.greatest(F.lit(1), level))))
+
+    left = np.ones((shards, len(VECTOR)))
+    schema = "h long, part int, size long, tokens long, n long, shard int"
+    none = groups.select("h", "part", F.lit(0).alias("shard")).limit(0)
+    first = rest = none
+    for r in sorted(groups.groupBy("level").count().collect()):  # as many as the logarithm of a shard's rows
+        level, count = r
+        own = groups.filter(F.col("level") == level).select("h", "part", *VECTOR)
+        dealt = own.repartition(1 if level == 0 else math.ceil(count / CELL_GROUPS), "h", "part")
+        found = cut(dealt.mapInArrow(lambda b, left=left: _placed(b, left, unit), schema))
+        load = np.zeros_like(left)
+        for x in found.groupBy("shard").agg(*[F.sum(c).alias(c) for c in VECTOR]).collect():
+            load[x["shard"]] = np.array([x[c] for c in VECTOR]) * unit
+        left = np.maximum(left - load, 0)
+        told = found.select("h", "part", "shard")
+        first, rest = (told, rest) if level == 0 else (first, rest.union(told))
+
+    keep = ["doc_id", "size", "text_crc32", "shard"]
+    hot = hot.join(F.broadcast(first), ["h", "part"]).select(*keep)
+    done = cut(hot.union(cold.join(rest.select("h", "shard"), "h").select(*keep)))
+
+    placed = done.mapInArrow(lambda b: _numbered(b, shards), "doc_id long, size long, text_crc32 long, shard int, task long, place long")
+    counts = placed.groupBy("shard", "task").agg(F.count("*").alias("n"))
+    order = W.partitionBy("shard").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    bases = cut(counts.select("shard", "task", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")))
+    return placed.join(bases, ["shard", "task"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkveil.llm import chat_format, exact_dedup, lm_scoring, packing, quality_rules, queries, sharding, simhash, toxicity
@@ -28,49 +29,70 @@ def test_same_rows_as_duckdb(spark, data, name):
     check(spark, queries.queries()[name], queries.oracle_sql()[name], data)
 
 
-def test_place_follows_the_dot_product():
-    rng = np.random.default_rng(1)
-    vectors = rng.integers(1, 50, (400, 3)).astype(float)
-    to = sharding.place(vectors, 7)
-    sums = np.stack([np.bincount(to, weights=v, minlength=7) for v in vectors.T])
-    assert (np.ptp(sums, axis=1) <= 0.1 * sums.mean(axis=1)).all()
-
-
-def test_match_gives_each_shard_one_bin():
-    rng = np.random.default_rng(2)
-    cells = [rng.integers(0, 1000, (7, 3)).astype(float) for _ in range(50)]
-    tos = sharding.match(cells)
-    assert all(sorted(t) == list(range(7)) for t in tos)
-    load = sum(c[np.argsort(t)] for c, t in zip(cells, tos, strict=True))
-    assert np.ptp(load[:, 0]) < 0.1 * load[:, 0].mean()
-
-
-@pytest.mark.parametrize("fan", [1024, 2])
-def test_shards(spark, monkeypatch, fan):
-    monkeypatch.setattr(sharding, "FAN", fan)
-    rng = random.Random(fan)
-    pairs = ODD + [(100 + i, "w " * rng.randint(1, 60) + str(rng.randint(0, 900))) for i in range(1500)] + [(5000 + i, "a hot text") for i in range(900)]
-    got = sharding.shard(table(spark, pairs), 5).collect()
-    texts = defaultdict(list)
+def slow_sharding(pairs, shards, hashes):
+    """The rule told row by row: classes of groups, large ones first, each to the shard with the highest dot product."""
+    groups = defaultdict(list)
     for i, t in pairs:
-        texts[i].append((t or "").encode())
-    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in pairs)
-    slots = defaultdict(list)
+        groups[t or ""].append(i)
+    vector = {t: np.array([(len(t.encode()) + 16) * len(ids), len(t.split()) * len(ids), len(ids)], float) for t, ids in groups.items()}
+    total = sum(vector.values())
+    share = {t: v * shards / np.maximum(total, 1) for t, v in vector.items()}
+    assert all(max(s[0], s[2]) <= sharding.SPLIT_ABOVE for s in share.values())
+    level = {t: 0 if max(s) > 1 / sharding.CLASS else max(1, math.floor(-math.log(max(s), sharding.CLASS))) for t, s in share.items()}
+    left, to = np.ones((shards, 3)), {}
+    for k in sorted(set(level.values())):
+        own = sorted((t for t in groups if level[t] == k), key=lambda t: (-max(share[t]), hashes[t]))
+        whole = sum(share[t] for t in own)
+        part = left * whole / left.sum(axis=0)
+        load = np.zeros_like(left)
+        for t in own:
+            best = max(range(shards), key=lambda b: (sum(part[b] * share[t]), -b))
+            to[t] = best
+            part[best] = part[best] - share[t]
+            load[best] += share[t]
+        left = np.maximum(left - load, 0)
+    return to
+
+
+def shard_case(seed):
+    rng = random.Random(seed)
+    return ODD + [(100 + i, "w " * rng.randint(1, 90) + str(rng.randint(0, 900))) for i in range(1500)] + [(4000 + i, f"copied {i % 40}") for i in range(700)] + [(None, "no id at all")] * 60
+
+
+def test_groups_go_where_brute_force_puts_them(spark):
+    pairs, df = shard_case(1), None
+    df = table(spark, pairs)
+    hashes = {r["t"]: r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    want = slow_sharding(pairs, 5, hashes)
+    by_crc = defaultdict(set)
+    for r in sharding.shard(df, 5).collect():
+        by_crc[r["text_crc32"]].add(r["shard"])
+    assert {t: by_crc[zlib.crc32(t.encode())] for t in want} == {t: {k} for t, k in want.items()}
+
+
+@pytest.mark.parametrize("cell", [10_000, 50])
+def test_shards(spark, monkeypatch, cell):
+    monkeypatch.setattr(sharding, "CELL_GROUPS", cell)
+    pairs = shard_case(cell) + [(5000 + i if i % 2 else None, "a hot text") for i in range(1500)]
+    got = sharding.shard(table(spark, pairs), 5).collect()
+    rows = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in pairs)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == rows
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
+    slots, by_text, sizes = defaultdict(list), defaultdict(set), Counter()
     for r in got:
-        text = texts[r["doc_id"]][0]
-        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 16, zlib.crc32(text), "bytes", None)
         slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(5))
-    sizes, counts = Counter(), Counter()
-    for r in got:
+        by_text[r["text_crc32"]].add(r["shard"])
         sizes[r["shard"]] += r["size"]
-        counts[r["shard"]] += 1
-    assert max(sizes.values()) < 1.15 * min(sizes.values()) and max(counts.values()) < 1.3 * min(counts.values())
-    by_text = defaultdict(set)
-    for r in got:
-        by_text[texts[r["doc_id"]][0]].add(r["shard"])
-    assert all(len(s) == 1 for t, s in by_text.items() if t != b"a hot text") and len(by_text[b"a hot text"]) > 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(5))
+    assert max(sizes.values()) < 1.1 * min(sizes.values()) and max(map(len, slots.values())) < 1.2 * min(map(len, slots.values()))
+    hot = zlib.crc32(b"a hot text")  # two fifths of all rows: two mean shards
+    assert all(len(s) == 1 for t, s in by_text.items() if t != hot) and len(by_text[hot]) > 1
+
+
+def test_sharding_of_no_rows_and_of_one_text(spark):
     assert sharding.shard(table(spark, []), 5).count() == 0
+    got = sharding.shard(table(spark, [(None, "x")] * 200), 4).collect()
+    assert sorted(Counter(r["shard"] for r in got)) == [0, 1, 2, 3] and len({(r["shard"], r["slot"]) for r in got}) == 200
 
 
 def slow_scores(pairs, order):
