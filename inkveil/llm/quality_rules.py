@@ -1,9 +1,13 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Each line is judged alone: are over a tenth of it the signs #*$%&|<>, is it
-navigation with bars on one line, is it stutter, is it boilerplate? How a line
-ends is not asked, and rows of other signs pass. A document is rejected when
-its failing lines hold too much of its words. Text-wide rules come before: too few words, and too many words inside repeated 5-word windows.
+Each line is judged alone. It fails if it has no letter or digit, if it does not
+end as a sentence does (a closing sign, with quotes or brackets after it), if
+over a tenth of it are the signs #*$%&|<>, if it is navigation (bars between
+entries, or an address for every four words), stutter, or boilerplate (a short
+line with a copyright mark and year or a stock phrase). Failing lines are
+removed. A document is rejected when they hold too much of its words; before
+that come text-wide rules: too few words, and too many words inside repeated
+5-word windows.
 
 Everything is an expression over one row, so there is no shuffle and no group.
 Repeated windows are found without comparing all pairs: the windows' hashes are
@@ -11,8 +15,10 @@ counted as a set first, and only texts that do repeat sort (hash, place) pairs
 and look at neighbours. Two windows count as equal when their 64-bit XXH64 of
 the five words, each with its end, are.
 
-Defined cases: null and blank texts have no words and fail the base rule; all
-columns that the caller passes through survive, whatever their names.
+Defined cases: null and blank texts have no words and fail the base rule; a text
+of any length is judged whole, as one row; rows that repeat are judged alike; an
+empty table gives an empty result; all columns that the caller passes through
+survive, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +45,11 @@ class LineRules:
     window: int = 5
 
 
+#: What a line ends with: a closing sign, then quotes and brackets.
+SENTENCE_END = r'[.!?…:;。！？]["\x27”’»)\]]*[\x20\x09-\x0D]*\z'
+#: A web address's beginning, and a copyright mark with its year.
+ADDRESS = r"(?:https?://|www[.])"
+COPYRIGHT = r"(?:©|[(]c[)]|copyright) *(?:19|20)[0-9][0-9]"
 #: Phrases that mark a boilerplate line, compared in lower case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use",
@@ -123,25 +134,35 @@ def cleaned(text: Column, rules: LineRules = LineRules()) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(f"[^{BLANK}]") | _line_ok(x, rules)), "\n")
 
 
+def clean(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """df with its texts cleaned; a column of their lengths, where there is one, follows."""
+    kind = dict(df.dtypes)
+    out = df.withColumn(text_col, cleaned(F.col(text_col), rules))
+    return out.withColumn(chars_col, F.length(text_col).cast(kind[chars_col])).select(*df.columns) if chars_col in kind else out
+
+
 def _count_words(lines: Column) -> Column:
     return F.aggregate(F.transform(lines, lambda x: F.regexp_count(x, F.lit(f"[^{BLANK}]+"))), F.lit(0), lambda a, x: a + x)
 
 
 def _line_ok(line: Column, rules: LineRules) -> Column:
-    """A line passes unless it is mostly punctuation signs, navigation, stutter or boilerplate.
+    """A line passes unless it is no sentence, mostly signs, navigation, stutter or boilerplate.
 
     Signs are judged against the line's length, navigation by separators that
-    stand between its entries, stutter by words that repeat the one before, and
-    boilerplate by a phrase in a line too short to be prose that quotes it.
+    stand between its entries or by its addresses, stutter by words that repeat
+    the one before, and boilerplate by a mark in a line too short to be prose
+    that quotes it.
     """
+    sentence = line.rlike(r"[\p{L}\p{N}]") & line.rlike(SENTENCE_END)
     signs = F.regexp_count(line, F.lit(r"[#*$%&|<>]"))
     marked = signs > rules.max_symbol_share * F.length(line)
     words = F.regexp_count(line, F.lit(f"[^{BLANK}]+"))
     bars = F.regexp_count(line, F.lit(r"[|>»•·]"))
-    navigation = (bars >= 3) & (4 * bars >= words)
+    addresses = F.regexp_count(line, F.lit(ADDRESS))
+    navigation = ((bars >= 3) & (4 * bars >= words)) | ((addresses > 0) & (4 * addresses >= words))
     stutter = F.regexp_count(line, F.lit(rf"(?<![^{BLANK}])([^{BLANK}]+)[{BLANK}]+(?=\1(?![^{BLANK}]))"))
-    boiler = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return ~(marked | navigation | ((words >= 5) & (stutter > rules.max_stutter_share * words)) | (boiler & (words < 30)))
+    boiler = F.lower(line).rlike("|".join((*BOILERPLATE, COPYRIGHT)))
+    return sentence & ~(marked | navigation | ((words >= 5) & (stutter > rules.max_stutter_share * words)) | (boiler & (words < 30)))
 
 
 #: DuckDB: the same counts with windows as word lists, and the line rules as expressions.
@@ -157,13 +178,15 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
 lin AS (
   SELECT doc_id, l, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS lw,
-         len(regexp_extract_all(l, '[#*$%&|<>]')) AS signs, len(regexp_extract_all(l, '[|>»•·]')) AS bars
+         len(regexp_extract_all(l, '[#*$%&|<>]')) AS signs, len(regexp_extract_all(l, '[|>»•·]')) AS bars,
+         len(regexp_extract_all(l, '{ADDRESS}')) AS addresses
   FROM w, LATERAL (SELECT unnest(lines) AS l)),
 bad AS (
   SELECT doc_id, sum(len(lw)) AS n FROM lin
-  WHERE signs > {LineRules().max_symbol_share} * length(l) OR (bars >= 3 AND 4 * bars >= len(lw))
+  WHERE NOT regexp_matches(l, '[\\p{{L}}\\p{{N}}]') OR NOT regexp_matches(l, '{SENTENCE_END}')
+     OR signs > {LineRules().max_symbol_share} * length(l) OR (bars >= 3 AND 4 * bars >= len(lw)) OR (addresses > 0 AND 4 * addresses >= len(lw))
      OR (len(lw) >= 5 AND len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i-1])) > {LineRules().max_stutter_share} * len(lw))
-     OR (len(lw) < 30 AND regexp_matches(lower(l), '{"|".join(BOILERPLATE)}'))
+     OR (len(lw) < 30 AND regexp_matches(lower(l), '{"|".join((*BOILERPLATE, COPYRIGHT))}'))
   GROUP BY doc_id),
 c AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -44,17 +44,47 @@ def test_quality_counts(spark):
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and (not r["kept"] or not r["base_failed"])
 
 
+def line_passes(line):
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    n, bars, low = len(words), len(re.findall("[|>»•·]", line)), line.lower()
+    addresses = low.count("http://") + low.count("https://") + low.count("www.") if line.islower() else len(re.findall(r"https?://|www[.]", line))
+    stock = any(x in low for x in quality_rules.BOILERPLATE) or re.search("(©|[(]c[)]|copyright) *(19|20)[0-9][0-9]", low)
+    end = line.rstrip(" \t\n\x0b\x0c\r").rstrip("\"'”’»)]")
+    return (
+        any(c.isalnum() for c in line) and end.endswith(tuple(".!?…:;。！？"))
+        and not len(re.findall(r"[#*$%&|<>]", line)) > 0.1 * len(line)
+        and not (bars >= 3 and 4 * bars >= n) and not (addresses and 4 * addresses >= n)
+        and not (n >= 5 and sum(a == b for a, b in zip(words, words[1:], strict=False)) > 0.3 * n)
+        and not (stock and n < 30)
+    )
+
+
+LINES = [
+    "This is a line of plain prose that ends as sentences do.", "Home | About | News | Contact | Help", "Home", "-----", "!!! ???", "=====", "A heading without an end",
+    "He said \"so.\"", "Did it end (like this?)  ", "see https://example.com/a/b now.", "An address like https://example.com/a in the middle of enough other words does not harm.",
+    "© 2024 Some Firm Ltd.", "Copyright 2019, all of us.", "Read more.", "word word word word word word.", "Signs ### *** $$$ %%%.", "短い文です。", "», so.", "1.",
+    "A very long line of more than thirty words in which a site asks its readers to read more of what its authors wrote over the years, about one thing and then about another one again.",
+]
+
+
 def test_lines_fail_one_by_one(spark):
-    good = "This is a line of plain prose that ends as sentences do."
-    bad = "Home | About | News | Contact | Help"
-    more = "Another line follows here, and it says quite other things than those before."
-    text = f"{good}\n{bad}\n\n{more}"
-    df = table(spark, [(1, text), (2, "\n".join([bad] * 3 + [f"{bad} {i}" for i in range(9)])), (3, good.replace(" ", "%%% "))])
-    kept = {r["row"]["doc_id"]: r["kept"] for r in quality_rules.quality(df).collect()}
-    assert kept == {1: True, 2: False, 3: False}
-    assert df.filter("doc_id = 1").select(quality_rules.cleaned(F.col("text"))).first()[0] == f"{good}\n\n{more}"
-    assert quality_rules.quality(df).filter("kept").select("row.*").schema == df.schema
+    rng = random.Random(7)
+    pairs = [(i, "\n".join(rng.choice(LINES) + rng.choice(["", "", " x"]) for _ in range(rng.randint(1, 9)))) for i in range(150)] + [(900 + i, x) for i, x in enumerate(LINES)]
+    df = table(spark, pairs)
+    got = {r["row"]["doc_id"]: r for r in quality_rules.quality(df).collect()}
+    clean = {r["doc_id"]: r["text"] for r in quality_rules.clean(df).collect()}
+    kept = set()
+    for i, text in pairs:
+        lines = text.split("\n")
+        lost = sum(len(x.split()) for x in lines if not line_passes(x))
+        assert clean[i] == "\n".join(x for x in lines if not x.strip() or line_passes(x)), text
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not lost > 0.5 * len(text.split())), text
+        kept |= {i} if got[i]["kept"] else set()
+    assert 10 < len(kept) < 140
+    assert quality_rules.clean(df).schema == df.schema and quality_rules.quality(df).filter("kept").select("row.*").schema == df.schema
     assert quality_rules.quality(table(spark, [])).count() == 0
+    sized = spark.createDataFrame([(1, "Gone\nThis stays.", 16)], "doc_id bigint, text string, n_chars bigint")
+    assert quality_rules.clean(sized).first() == (1, "This stays.", 11)
 
 
 def test_rules_stay_in_the_jvm(spark):
