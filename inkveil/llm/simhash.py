@@ -16,9 +16,12 @@ Components come from minimum labels with pointer jumping, written to the shared
 checkpoint folder each round; the loop ends when no label changes.
 
 Defined cases: null or blank text has fingerprint zero and links like any other;
-fewer words than a shingle make one shingle of all; rows that repeat an id are
-named together; a null id is never a component's smallest id unless it has no
-other; an empty table gives an empty result.
+fewer words than a shingle make one shingle of all; texts are read whole, as bytes,
+also those that are no UTF-8; rows that repeat an id are named together; a null id
+is never a component's smallest id unless it has no other; other columns are not
+read; an empty table gives an empty result. A fingerprint of very many rows, such as
+zero where many texts are blank, is one node; what its rows' last join has of
+skew is split by adaptive execution alone.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import cut, numbered, prepare, spread
+from inkveil.llm.common import cut, numbered, prepare, spread, stable
 
 SHINGLE = 4
 SEED = 42
@@ -71,15 +74,17 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
         fps = pa.array([fingerprint(t or b"") for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), fps], names=["doc_id", "row", "fp"])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row=None) -> DataFrame:
+    """doc_id, row, fp; row is an expression that tells rows apart, null if none is given."""
     prepare(df.sparkSession)
-    slim = spread(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
+    row = F.lit(None).cast("long") if row is None else row
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    return spread(slim).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 def _segment(fp, k: int):
@@ -204,20 +209,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (the component's smallest doc_id)."""
-    docs = cut(fingerprints(df, id_col, text_col))
+def _named(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, row, fp) with root, the least fingerprint of the component, and component_id, its smallest doc_id."""
     nodes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(nodes.select("fp")))
     rooted = cut(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     tops = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = cut(rooted.join(tops, "root").select("fp", "component_id"))
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(rooted.join(tops, "root").select("fp", "root", "component_id"))
+    return docs.join(named, "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the component's smallest doc_id)."""
+    named = _named(cut(fingerprints(df, id_col, text_col)))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows whose id is their component's smallest; rows without an id stay where the component has none."""
-    found = near_duplicates(df, id_col, text_col)
-    mark = numbered(df.columns, "kept_id")
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(mark)).distinct()
-    return df.join(stay, df[id_col].cast("long").eqNullSafe(stay[mark]), "left_semi")
+    """One row of each component: of those with its smallest id the first; a row without an id stays only where all have none.
+
+    Rows are known by their places, so df must be read in equal order again: a
+    plain scan is, and any other frame is written first.
+    """
+    base, mark = stable(df), numbered(df.columns, "kept_row")
+    named = _named(cut(fingerprints(base, id_col, text_col, F.monotonically_increasing_id())))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
+    stay = named.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(mark))
+    return base.withColumn(mark, F.monotonically_increasing_id()).join(stay, mark, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

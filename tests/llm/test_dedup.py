@@ -130,5 +130,7 @@ def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == [(0, 3), (2, 2), (3, 3), (4, 2), (5, 3), (8, 8), (8, 8), (9, 3)]
     kept = simhash.one_of_each(df)
-    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 8, 8]
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 8]
+    apart = table(spark, [(1, words), (7, words), (7, "an id that another text has as well"), (None, "without an id"), (None, "without an id")])
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in simhash.one_of_each(apart.repartition(3)).collect()) == [(0, 13), (1, len(words)), (7, 35)]
     assert simhash.near_duplicates(table(spark, [])).count() == 0
