@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import bottom, union_agg
-from inkveil.functions.text import BLANK, trimmed
+from inkveil.functions.text import BLANK, leading, let, running, trimmed
 
 PAGE = ["doc_id", "page"]
 
@@ -19,33 +19,23 @@ NARROW, SLIM, WIDE = "iljtfrI.,:;'|!()[] ", "sczJ-/\"*", "mwMWGOQ@%&"
 
 
 def line_numbers(boxes: DataFrame, keys: list[str] = PAGE, order: str = "ord") -> DataFrame:
-    """Adds ``line``: boxes by (y, x) start a new line when their centre is outside the band of the current one.
-
-    The band starts at its first box's top, as tops only grow, and reaches down
-    to the lowest bottom so far. That state is a fold over one page's boxes, done
-    by aggregate over a sorted array; pages are the unit of work.
+    """Adds ``line``: boxes by (y, x) start a new line when their centre is below the band of the current one.
+
+    The band reaches down to the lowest bottom of the line's boxes so far. A line
+    begins with a box whose centre, and so its bottom, is below all bottoms before
+    it; the lowest bottom of a line is therefore that of all boxes so far, a
+    running maximum, and the number of a line is a running count of beginnings.
+    No box can be above the band, as tops only grow. One shuffle and sort, by
+    page, and nothing is held but the rows of a window.
     """
-    packed = boxes.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("box.y").alias("y"), F.col("box.x").alias("x"), F.col(order).alias("o"), F.struct(*[c for c in boxes.columns if c not in keys]).alias("row")))).alias("all")
-    )
-    state = "struct<line:int,top:double,low:double,lines:array<int>>"
-    start = F.struct(F.lit(-1).alias("line"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("low"), F.array().cast("array<int>").alias("lines")).cast(state)
-
-    def step(s: Column, e: Column) -> Column:
-        b = e["row"]["box"]
-        centre = b["y"] + b["height"] / 2
-        new = (centre < s["top"]) | (centre > s["low"])
-        line = s["line"] + new.cast("int")
-        return F.struct(
-            line.alias("line"),
-            F.when(new, b["y"]).otherwise(F.least(s["top"], b["y"])).alias("top"),
-            F.when(new, bottom(b)).otherwise(F.greatest(s["low"], bottom(b))).alias("low"),
-            F.concat(s["lines"], F.array(line)).alias("lines"),
-        )
-
-    folded = packed.withColumn("lines", F.aggregate("all", start, step, lambda s: s["lines"]))
-    rows = folded.select(*keys, F.explode(F.arrays_zip(F.col("all"), F.col("lines"))).alias("z"))
-    return rows.select(*keys, "z.all.row.*", F.col("z.lines").alias("line"))
+    by = W.partitionBy(*keys).orderBy(F.col("box.y"), F.col("box.x"), F.col(order))
+    low = F.max(bottom(F.col("box"))).over(by.rowsBetween(W.unboundedPreceding, -1))
+    centre = F.col("box.y") + F.col("box.height") / 2
+    begins = F.when(low.isNull() | (centre > low), 1).otherwise(0)
+    keep = [c for c in boxes.columns if c not in keys]
+    marked = boxes.withColumn("_begins", begins)
+    line = F.sum("_begins").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
+    return marked.select(*keys, *keep, line.cast("int").alias("line"))
 
 
 def reading_order(words: DataFrame) -> DataFrame:
@@ -58,13 +48,7 @@ def build_lines(words: DataFrame) -> DataFrame:
     item = F.struct(F.col("box.x").alias("x"), "ord", "text", "box", "word_id")
     lines = words.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(item)).alias("w"))
     lines = lines.withColumn("text", F.array_join(F.transform("w", lambda x: x["text"]), " ")).filter(trimmed(F.col("text")) != "")
-    placed = F.aggregate(
-        "w",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, x: F.struct((s["at"] + F.length(x["text"]) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")),
-        lambda s: s["starts"],
-    )
-    lines = lines.withColumn("starts", placed)
+    lines = lines.withColumn("starts", running(F.transform("w", lambda x: F.length(x["text"]) + 1)))
     spelt = F.transform(
         "w",
         lambda x, i: F.struct(x["word_id"].alias("word_id"), x["text"].alias("text"), x["box"].alias("box"), F.get("starts", i).alias("start"), (F.get("starts", i) + F.length(x["text"])).alias("end")),
@@ -74,8 +58,10 @@ def build_lines(words: DataFrame) -> DataFrame:
 
 
 def words_in_range(words: Column, start: Column, end: Column) -> Column:
-    """Words whose span overlaps [start, end): array of (word_id, text, box)."""
-    hit = F.filter(words, lambda w: (w["start"] < end) & (w["end"] > start))
+    """Words whose span overlaps [start, end): array of (word_id, text, box). Words stand in order, so two binary searches find them."""
+    before = leading(F.size(words), lambda k: F.get(words, k)["end"] <= start)
+    upto = leading(F.size(words), lambda k: F.get(words, k)["start"] < end)
+    hit = let(F.struct(before.alias("a"), upto.alias("b")), lambda s: F.slice(words, s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0))))
     return F.transform(hit, lambda w: F.struct(w["word_id"].alias("word_id"), w["text"].alias("text"), w["box"].alias("box")))
 
 

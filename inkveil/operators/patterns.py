@@ -2,11 +2,14 @@
 
 Lines are read once for all targets. Only lines that pass a cheap test for a
 target run its regular expressions, and the guards come right after the match,
-before any box is looked up.
+before any box is looked up. A line's matches stay in arrays until their words
+are found, so that no text is copied for each match; places and words come from
+running sums and binary searches, so a line's cost grows with its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -14,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import union_all
-from inkveil.functions.text import BLANK, matches, trimmed
+from inkveil.functions.text import BLANK, held, leading, let, matches, trimmed
 from inkveil.operators.layout import words_in_range
-from inkveil.sources.text_layout import mono_words
+from inkveil.sources.text_layout import mono_span, mono_starts
 from inkveil.targets import EDGE, URL_SIGNS, URLS, Target
 
 #: Targets that never count inside a web address.
@@ -33,22 +36,24 @@ DETECTION = (
 )
 
 
-def phone_guard(raw: Column, line: Column, start: Column) -> Column:
-    """No year range or percentage, and a label before, a plus in front or nine digits."""
+#: Characters before and after a match that its guard looks at.
+AROUND = (LABEL_REACH, 2)
+_HITS = "array<struct<seq:array<int>,target:string,start:int,raw:string>>"
+
+
+def phone_guard(raw: Column, before: Column, after: Column) -> Column:
+    """No year range or percentage, and a label before, a plus in front or nine digits. before and after as AROUND says."""
     digits = F.length(F.regexp_replace(raw, "[^0-9]", ""))
-    after = F.substring(line, start + F.length(raw) + 1, F.lit(2))
-    reach = F.least(start, F.lit(LABEL_REACH))
-    before = F.lower(F.substring(line, start - reach + 1, reach))
-    sure = before.rlike(LABELS) | raw.rlike(r"^\s*\+") | (digits >= SURE_DIGITS)
+    sure = F.lower(before).rlike(LABELS) | raw.rlike(r"^\s*\+") | (digits >= SURE_DIGITS)
     return digits.between(MIN_DIGITS, MAX_DIGITS) & ~raw.rlike(YEARS) & ~after.rlike(r"^\s*%") & sure
 
 
-def guard(target_id: str, raw: Column, line: Column, start: Column) -> Column:
-    """Guards go by target id, so a target of one's own named so has them too."""
+def guard(target_id: str, m: Column) -> Column:
+    """Guards go by target id, so a target of one's own named so has them too. m has start and raw, and before and after for a phone."""
     if target_id == "phone":
-        return phone_guard(raw, line, start)
+        return phone_guard(m["raw"], m["before"], m["after"])
     if target_id == "dob":
-        return F.length(trimmed(raw)) > 3
+        return F.length(trimmed(m["raw"])) > 3
     return F.lit(True)
 
 
@@ -56,11 +61,21 @@ def _has_one(text: Column, signs: tuple[str, ...]) -> Column:
     return reduce(or_, [F.instr(text, s) > 0 for s in signs])
 
 
-def url_ranges(text: Column) -> Column:
-    """(start, end) of all web addresses of a line; lines without their signs are not searched."""
-    found = F.flatten(F.array(*[matches(text, p) for p in URLS]))
-    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["raw"])).alias("end")))
-    return F.when(_has_one(text, URL_SIGNS), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+def url_matches(text: Column) -> Column:
+    """An array of the matches of each address pattern, in order; lines without an address's signs are not searched."""
+    none = F.array().cast("array<array<struct<start:int,raw:string>>>")
+    return F.when(_has_one(text, URL_SIGNS), F.array(*[matches(text, p) for p in URLS])).otherwise(none)
+
+
+def in_url(urls: Column, m: Column) -> Column:
+    """Whether a match overlaps one of url_matches. Those of one pattern stand in order: the last that begins before m ends is the one to ask."""
+    end = m["start"] + F.length(m["raw"])
+
+    def met(own: Column) -> Column:
+        before = leading(F.size(own), lambda k: F.get(own, k)["start"] < end)
+        return let(F.get(own, before - 1), lambda u: F.coalesce(u["start"] + F.length(u["raw"]) > m["start"], F.lit(False)))
+
+    return F.exists(urls, met)
 
 
 def _worth(target: Target, text: Column) -> Column:
@@ -69,58 +84,81 @@ def _worth(target: Target, text: Column) -> Column:
     if target.id == "phone" and target.patterns:
         worth = worth & text.rlike("[0-9]{2}[^0-9]{0,3}[0-9]{2}")
     if target.id == "email":
-        worth = worth & text.rlike(rf"[A-Za-z0-9._%+-]\s?@")
+        worth = worth & text.rlike(r"[A-Za-z0-9._%+-]\s?@")
     return worth
 
 
-def _hits(target: Target, n: int, k: int, pattern: str, guarded: bool) -> Column:
-    """What pattern k of the n-th target finds on a line and its guard lets through: array of (seq, target, start, raw)."""
-    text = F.col("text")
+def _hits(target: Target, n: int, k: int, found: Column, guarded: bool) -> Column:
+    """What its guard lets through of the matches of pattern k of the n-th target: array of (seq, target, start, raw)."""
 
     def kept(m: Column) -> Column:
         some = trimmed(m["raw"]) != ""
-        return some & guard(target.id, m["raw"], text, m["start"]) if guarded else some
+        return some & guard(target.id, m) if guarded else some
 
     def item(m: Column, i: Column) -> Column:
         return F.struct(F.array(F.lit(n), F.lit(k), i).alias("seq"), F.lit(target.id).alias("target"), m["start"].alias("start"), m["raw"].alias("raw"))
 
-    return F.transform(F.filter(matches(text, pattern), kept), item)
+    return F.transform(F.filter(found, kept), item)
+
+
+def line_hits(lines: DataFrame, targets: list[Target], guarded: bool = True) -> DataFrame:
+    """lines that have hits, with ``hits``: those inside web addresses are left out where they have no business there.
+
+    Addresses are searched once, for their own target and for the veto alike;
+    where only the veto asks, lines with other hits are searched only.
+    """
+    text, some = F.col("text"), [t for t in targets if t.patterns]
+    none = F.array().cast(_HITS)
+    veto = guarded and any(t.id in NOT_IN_URLS for t in some)
+    wanted = any(t.patterns == URLS for t in some)
+    found = {"_urls": url_matches(text)} if wanted else {}
+    for n, t in enumerate(some):
+        for k, pattern in enumerate(t.patterns if t.patterns != URLS else ()):
+            own = matches(text, pattern, AROUND if guarded and t.id == "phone" else None)
+            found[f"_found_{n}_{k}"] = F.when(_worth(t, text), own)
+    rows = held(lines, **found) if found else lines
+    of = lambda t, n, k: F.get("_urls", F.lit(k)) if t.patterns == URLS else F.col(f"_found_{n}_{k}")
+    arrays = [F.coalesce(_hits(t, n, k, of(t, n, k), guarded), none) for n, t in enumerate(some) for k in range(len(t.patterns))]
+    rows = held(rows, hits=F.flatten(F.array(*arrays)) if arrays else none).drop(*[c for c in found if c != "_urls"]).filter(F.size("hits") > 0)
+    if veto:
+        rows = rows if wanted else held(rows, _urls=url_matches(text))
+        outside = F.filter("hits", lambda m: ~m["target"].isin(*NOT_IN_URLS) | ~in_url(F.col("_urls"), m))
+        rows = held(rows, hits=outside).filter(F.size("hits") > 0)
+    return rows.drop("_urls")
 
 
 def line_matches(lines: DataFrame, targets: list[Target], guarded: bool = True) -> DataFrame:
     """lines with target, start, raw and seq for each match that its guard lets through."""
-    some = [t for t in targets if t.patterns]
-    keep = lines.columns
-    none = F.array().cast("array<struct<seq:array<int>,target:string,start:int,raw:string>>")
-    arrays = []
-    for n, t in enumerate(some):
-        for k, pattern in enumerate(t.patterns):
-            arrays.append(F.when(_worth(t, F.col("text")), _hits(t, n, k, pattern, guarded)).otherwise(none))
-    hits = lines.select(*keep, F.explode(F.flatten(F.array(*arrays)) if arrays else none).alias("m"))
-    hits = hits.select(*keep, "m.*")
-    if guarded and any(t.id in NOT_IN_URLS for t in some):
-        # Anti join with the line's web addresses, where the match is of a target that has no business inside one.
-        end = F.col("start") + F.length("raw")
-        inside = F.exists(url_ranges(F.col("text")), lambda u: (F.col("start") < u["end"]) & (end > u["start"]))
-        hits = hits.filter(F.when(F.col("target").isin(*NOT_IN_URLS), ~inside).otherwise(True))
-    return hits
+    return line_hits(lines, targets, guarded).select(*lines.columns, F.explode("hits").alias("m")).select(*lines.columns, "m.*")
+
 
+def trimmed_span(m: Column, then: Callable[[Column], Column]) -> Column:
+    """then(span) of a match without blanks at its ends: value, begin and end."""
+    lead = F.length(m["raw"]) - F.length(F.regexp_replace(m["raw"], f"^[{BLANK}]+", ""))
 
-def trimmed_span(hits: DataFrame) -> DataFrame:
-    """Adds begin, end and value: the match without blanks at its ends."""
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", f"^[{BLANK}]+", ""))
-    value = trimmed(F.col("raw"))
-    return hits.withColumn("value", value).withColumn("begin", F.col("start") + lead).withColumn("end", F.col("start") + lead + F.length(value))
+    def span(s: Column) -> Column:
+        return then(F.struct(s["value"].alias("value"), s["begin"].alias("begin"), (s["begin"] + F.length(s["value"])).alias("end")))
+
+    return let(F.struct(trimmed(m["raw"]).alias("value"), (m["start"] + lead).alias("begin")), span)
 
 
 def detect_patterns(lines: DataFrame, targets: list[Target], guarded: bool = True) -> DataFrame:
     """Detections of pattern targets. Lines come from build_lines, or from text_lines in fixed pitch."""
-    hits = trimmed_span(line_matches(lines, targets, guarded))
+
+    def worded(words_of: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+        def one(m: Column) -> Column:
+            return trimmed_span(m, lambda s: F.struct(m["target"].alias("target"), m["seq"].alias("seq"), s["value"].alias("value"), words_of(s["begin"], s["end"]).alias("w")))
+
+        return one
+
+    rows = line_hits(lines, targets, guarded)
     if "words" in lines.columns:
-        words = words_in_range(F.col("words"), F.col("begin"), F.col("end"))
+        every = F.transform("hits", worded(lambda a, b: words_in_range(F.col("words"), a, b)))
     else:
-        words = mono_words(F.col("page"), F.col("slot"), F.col("first"), F.col("text"), F.col("begin"), F.col("end"))
-    hits = hits.select("doc_id", "page", "line_no", "target", "seq", "value", words.alias("w")).filter(F.size("w") > 0)
+        rows = held(held(rows, _parts=F.split("text", " ")), _starts=mono_starts(F.col("_parts")))
+        line = [F.col(c) for c in ("page", "slot", "first", "_parts", "_starts")]
+        every = F.transform("hits", worded(lambda a, b: mono_span(*line, a, b)))
+    hits = rows.select("doc_id", "page", "line_no", F.explode(every).alias("m")).select("doc_id", "page", "line_no", "m.*").filter(F.size("w") > 0)
     return hits.select(
         "doc_id", "page", "target", union_all(F.transform("w", lambda x: x["box"])).alias("box"), F.col("value").alias("text"), F.lit(1.0).alias("confidence"),
         F.lit("pattern").alias("source"), F.transform("w", lambda x: x["word_id"]).alias("word_ids"),

@@ -19,7 +19,7 @@ DOCS = f"SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_LI
 WEB = f"SELECT page_id AS doc_id, url || chr(10) || html AS text FROM pages UNION ALL SELECT * FROM (VALUES {_LITERAL_ROWS}) v(doc_id, text)"
 PLAIN = "SELECT doc_id, text FROM documents"
 
-# Shapes for an engine without lookbehind: where one is needed, the sign before is matched too and the value is group 1.
+# The same shapes as the engine's, for an engine without lookbehind: where one is needed, the sign before is matched too and the value is group 1.
 EMAIL = r"(?i)[A-Z0-9._%+-]+\s?@\s?[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,5}(?:[\s.-]?\d{2,5}){1,4}\b"
 SOCIAL = r"(?i)\b(?:(?:https?://)?(?:[a-z]{2,3}\.)?(?:" + "|".join(h.replace(".", r"\.") for h in PROFILE_HOSTS) + r")/[^\s<>\"')]*)"
@@ -35,7 +35,7 @@ def lines(source: str) -> str:
     """CTEs pages and lines of a source of (doc_id, text)."""
     return f"""
 src AS ({source}),
-cut AS (SELECT doc_id, string_split(text, chr(10)) AS al FROM src WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS al FROM src),
 slots AS (SELECT doc_id, ((i - 1) // 60)::INT AS page, ((i - 1) % 60)::INT AS slot, trim(regexp_replace(al[i], '{BLANKS}', ' ', 'g')) AS text
           FROM cut, LATERAL (SELECT unnest(range(1, len(al) + 1)) AS i)),
 lines AS (SELECT doc_id, page, slot, row_number() OVER w AS line_no, text,

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import geometry as geo
 from inkveil.functions import grid as grids
-from inkveil.functions.text import clamp_confidence, defuse
+from inkveil.functions.text import clamp_confidence, defuse, held
 from inkveil.operators import layout, links, merge, model_text, model_vision, paint, patterns
 from inkveil.options import GridOptions
 from inkveil.plans import pipeline
 from inkveil.sources import files, text_layout
 from inkveil.sources.tables import read_table
-from inkveil.targets import BUILTIN, SOCIAL, URL_BARE, URL_EXPLICIT, URL_PATH, URL_SIGNS, Target, resolve_targets
+from inkveil.targets import BUILTIN, PHONE, SOCIAL, URL_BARE, URL_EXPLICIT, URL_PATH, URL_SIGNS, Target, resolve_targets
 
 #: Lines for shapes that the tables lack; ids below zero.
 LITERALS = [
@@ -114,10 +114,10 @@ def union_box_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_veto_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone matches that the veto drops: those of guarded matches that lie in an address."""
     lines = text_layout.text_lines(_web(spark, sf_dir))
-    end = F.col("start") + F.length("raw")
-    hits = patterns.line_matches(lines, [Target("raw_phone", "", BUILTIN["phone"].patterns)]).filter(patterns.phone_guard(F.col("raw"), F.col("text"), F.col("start")))
-    inside = F.exists(patterns.url_ranges(F.col("text")), lambda u: (F.col("start") < u["end"]) & (end > u["start"]))
-    return hits.filter(inside).select("doc_id", "page", "line_no", "start", "raw")
+    phone = F.filter(patterns.matches(F.col("text"), PHONE, patterns.AROUND), lambda m: patterns.guard("phone", m))
+    hits = held(held(lines, hits=phone).filter(F.size("hits") > 0), urls=patterns.url_matches(F.col("text")))
+    inside = F.filter("hits", lambda m: patterns.in_url(F.col("urls"), m))
+    return hits.select("doc_id", "page", "line_no", F.explode(inside).alias("m")).select("doc_id", "page", "line_no", "m.start", "m.raw")
 
 
 def _anchors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,13 @@ it is narrow: a document's rows never leave their partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import box, union_all
-from inkveil.functions.text import let, single_spaced
+from inkveil.functions.text import leading, let, running, single_spaced
 
 PITCH, LEADING, HEIGHT = 6, 14, 12
 PAGE_LINES = 60
@@ -24,16 +26,22 @@ def word_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.size(F.split(line, " ")))
 
 
+def _pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, page, slots: the single-spaced lines of each page. A document without text, null or empty, has one blank page."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("all"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PAGE_LINES).cast("int"))
+    cut = F.transform(starts, lambda p: F.slice("all", p * PAGE_LINES + 1, PAGE_LINES))  # before the explode, which would copy the document for each page
+    pages = docs.select("doc_id", F.posexplode(cut).alias("page", "raw"))
+    return pages.select("doc_id", "page", F.transform("raw", single_spaced).alias("slots"))
+
+
 def text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Numbered lines: doc_id, page, slot (place on the page), line_no (from 1, blank lines skipped), text, first (index of its first word on the page).
 
     Documents without text have no lines.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("all")).filter(F.col("all").isNotNull())
-    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PAGE_LINES).cast("int"))
-    pages = docs.select("doc_id", "all", F.explode(starts).alias("page"))
-    slots = F.transform(F.slice("all", F.col("page") * PAGE_LINES + 1, PAGE_LINES), lambda x, i: F.struct(i.alias("slot"), single_spaced(x).alias("text")))
-    pages = pages.select("doc_id", "page", F.filter(slots, lambda s: s["text"] != "").alias("lines"))
+    slots = F.transform("slots", lambda x, i: F.struct(i.alias("slot"), x.alias("text")))
+    pages = _pages(df, id_col, text_col).select("doc_id", "page", F.filter(slots, lambda s: s["text"] != "").alias("lines"))
     rows = pages.select("doc_id", "page", F.transform("lines", lambda s: word_count(s["text"])).alias("counts"), F.posexplode("lines").alias("i", "s"))
     first = F.aggregate(F.slice("counts", 1, F.col("i")), F.lit(0), lambda a, n: a + n)
     return rows.select("doc_id", "page", F.col("s.slot").alias("slot"), (F.col("i") + 1).alias("line_no"), F.col("s.text").alias("text"), first.alias("first"))
@@ -43,54 +51,54 @@ def mono_box(slot: Column, start: Column, length: Column) -> Column:
     return box(PITCH * start, LEADING * slot, PITCH * length, F.lit(HEIGHT))
 
 
-def mono_words(page: Column, slot: Column, first: Column, text: Column, start: Column, end: Column) -> Column:
-    """The words of a fixed-pitch line that [start, end) touches: array of (word_id, text, box).
+def mono_starts(parts: Column) -> Column:
+    """The place where each word of a single-spaced line begins."""
+    return running(F.transform(parts, lambda w: F.length(w) + 1))
 
-    Lines hold single spaces, so the touched words are what is left after
-    widening the range to the nearest spaces; the line's other words are not looked at.
-    """
-    head = F.substring(text, F.lit(1), start)
-    begin = start - F.length(F.regexp_extract(head, "[^ ]*$", 0))
-    begin = F.when(F.substring(text, start + 1, F.lit(1)) == " ", start + 1).otherwise(begin)
-    stop = end + F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), "^[^ ]*", 0))
 
-    def named(span: Column) -> Column:
-        piece = F.rtrim(F.substring(text, span["begin"] + 1, span["stop"] - span["begin"]))
-        before = F.length(F.regexp_replace(F.substring(text, F.lit(1), span["begin"]), "[^ ]+", ""))
-        return let(F.struct(span["begin"].alias("begin"), (first + before).alias("index"), F.split(piece, " ").alias("parts")), placed)
+def mono_line(text: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """then(words, starts) of a fixed-pitch line."""
+    return let(F.split(text, " "), lambda parts: let(mono_starts(parts), lambda starts: then(parts, starts)))
 
-    def placed(s: Column) -> Column:
-        def word(w: Column, i: Column, starts: Column) -> Column:
-            name = F.concat(F.lit("p"), page, F.lit("w"), s["index"] + i)
-            return F.struct(name.alias("word_id"), w.alias("text"), mono_box(slot, F.get(starts, i), F.length(w)).alias("box"))
 
-        return let(word_starts(s["parts"], s["begin"]), lambda starts: F.transform(s["parts"], lambda w, i: word(w, i, starts)))
+def mono_span(page: Column, slot: Column, first: Column, parts: Column, starts: Column, start: Column, end: Column) -> Column:
+    """The words of a line that [start, end) touches: array of (word_id, text, box). Two binary searches find them."""
 
-    return let(F.struct(begin.alias("begin"), stop.alias("stop")), named)
+    def word(w: Column, k: Column) -> Column:
+        return F.struct(F.concat(F.lit("p"), page, F.lit("w"), first + k).alias("word_id"), w.alias("text"), mono_box(slot, F.get(starts, k), F.length(w)).alias("box"))
 
+    n = F.size(parts)
+    before = leading(n, lambda k: F.get(starts, k) + F.length(F.get(parts, k)) <= start)
+    upto = leading(n, lambda k: F.get(starts, k) < end)
+    return let(F.struct(before.alias("a"), upto.alias("b")), lambda s: F.transform(F.slice(parts, s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0))), lambda w, i: word(w, s["a"] + i)))
 
-def word_starts(parts: Column, begin: Column) -> Column:
-    """Starts of single-spaced words, by one fold over them."""
-    state = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
-    return F.aggregate(parts, state, step, lambda s: s["starts"])
+
+def mono_words(page: Column, slot: Column, first: Column, text: Column, start: Column, end: Column) -> Column:
+    """The words of a fixed-pitch line that [start, end) touches."""
+    return mono_line(text, lambda parts, starts: mono_span(page, slot, first, parts, starts, start, end))
+
+
+def line_words(page: Column, slot: Column, first: Column, text: Column) -> Column:
+    """All words of a fixed-pitch line."""
+
+    def every(parts: Column, starts: Column) -> Column:
+        return F.transform(parts, lambda w, k: F.struct(F.concat(F.lit("p"), page, F.lit("w"), first + k).alias("word_id"), w.alias("text"), mono_box(slot, F.get(starts, k), F.length(w)).alias("box")))
+
+    return mono_line(text, every)
 
 
 def text_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per word: doc_id, page, word_id, ord, text, box, line. ord is the order of the text."""
     lines = text_lines(df, id_col, text_col)
-    whole = mono_words(F.col("page"), F.col("slot"), F.col("first"), F.col("text"), F.lit(0), F.length("text"))
+    whole = line_words(F.col("page"), F.col("slot"), F.col("first"), F.col("text"))
     rows = lines.select("doc_id", "page", "slot", "first", F.posexplode(whole).alias("i", "w"))
     return rows.select("doc_id", "page", F.col("w.word_id").alias("word_id"), (F.col("first") + F.col("i")).alias("ord"), F.col("w.text").alias("text"), F.col("w.box").alias("box"), F.col("slot").alias("line"))
 
 
 def page_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, page, width, height, has_text of fixed-pitch pages, blank ones too; wide lines widen their page."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("all")).filter(F.col("all").isNotNull())
-    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PAGE_LINES).cast("int"))
-    pages = docs.select("doc_id", "all", F.explode(starts).alias("page"))
-    longest = F.array_max(F.transform(F.slice("all", F.col("page") * PAGE_LINES + 1, PAGE_LINES), lambda x: F.length(single_spaced(x))))
-    return pages.select("doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), longest * PITCH).cast("double").alias("width"), F.lit(PAGE_HEIGHT).alias("height"), (longest > 0).alias("has_text"))
+    pages = _pages(df, id_col, text_col).select("doc_id", "page", F.array_max(F.transform("slots", lambda x: F.length(x))).alias("longest"))
+    return pages.select("doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), F.col("longest") * PITCH).cast("double").alias("width"), F.lit(PAGE_HEIGHT).alias("height"), (F.col("longest") > 0).alias("has_text"))
 
 
 #: Characters of a row of a wrapped page.
@@ -99,10 +107,7 @@ WRAP = 200
 
 def wrapped_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, page, width, height, tops of pages whose lines are wrapped after WRAP characters. tops has the row where each slot begins."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("all")).filter(F.col("all").isNotNull())
-    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PAGE_LINES).cast("int"))
-    pages = docs.select("doc_id", "all", F.explode(starts).alias("page"))
-    sizes = pages.select("doc_id", "page", F.transform(F.slice("all", F.col("page") * PAGE_LINES + 1, PAGE_LINES), lambda x: F.length(single_spaced(x))).alias("sizes"))
+    sizes = _pages(df, id_col, text_col).select("doc_id", "page", F.transform("slots", lambda x: F.length(x)).alias("sizes"))
     state = F.struct(F.lit(0).alias("rows"), F.array().cast("array<int>").alias("tops"))
     step = lambda s, n: F.struct((s["rows"] + F.greatest(F.lit(1), F.ceil(n / WRAP).cast("int"))).alias("rows"), F.concat(s["tops"], F.array(s["rows"])).alias("tops"))
     placed = sizes.select("doc_id", "page", F.least(F.array_max("sizes"), F.lit(WRAP)).alias("longest"), F.aggregate("sizes", state, step).alias("s"))
@@ -148,7 +153,7 @@ def html_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     href = F.col("a.hrefs")
     url = F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, href))
     base = rows.select("doc_id", (F.floor(F.col("n") / PAGE_LINES)).cast("int").alias("page"), (F.col("n") % PAGE_LINES).alias("slot"), F.col("n").alias("link_ord"), url.alias("url"), shown.alias("text"))
-    spelt = mono_words(F.col("page"), F.col("slot"), F.col("slot") * 1000, F.col("text"), F.lit(0), F.length("text"))
+    spelt = line_words(F.col("page"), F.col("slot"), F.col("slot") * 1000, F.col("text"))
     named = base.withColumn("words", F.when(F.col("text") != "", spelt).otherwise(F.array().cast(f"array<struct<word_id:string,text:string,box:struct<x:double,y:double,width:double,height:double>>>")))
     own = F.coalesce(union_all(F.transform("words", lambda w: w["box"])), mono_box(F.col("slot"), F.lit(0), F.lit(1)))
     links = named.select("doc_id", "page", "link_ord", "url", own.alias("box"))

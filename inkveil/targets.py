@@ -29,15 +29,19 @@ BARE_ENDINGS = (
 )
 
 # The shapes of identifiers.
-EMAIL = r"(?i)[A-Z0-9._%+-]+\s?@\s?[A-Z0-9.-]+\.[A-Z]{2,}"
-PHONE = r"(?:\+[0-9]{1,3}[\s.-]?)?(?:\([0-9]{1,4}\)[\s.-]?)?[0-9]{2,5}(?:[\s.-]?[0-9]{2,5}){1,4}" + EDGE
+# A search starts at the beginning of a run of letters or where the last match ended, which finds the same and reads a run once.
+EMAIL = r"(?i)(?:\G|(?<![A-Z0-9._%+-]))[A-Z0-9._%+-]++\s?@\s?[A-Z0-9.-]+\.[A-Z]{2,}"
+# With 26 digits ahead no end within reach is a word's end.
+PHONE = r"(?:\+[0-9]{1,3}[\s.-]?)?(?:\([0-9]{1,4}\)[\s.-]?)?(?![0-9]{26})[0-9]{2,5}(?:[\s.-]?[0-9]{2,5}){1,4}" + EDGE
 SOCIAL = rf"(?i){EDGE}(?:https?://)?(?:[a-z]{{2,3}}\.)?(?:{'|'.join(h.replace('.', '[.]') for h in PROFILE_HOSTS)})/[^\s<>\"')]*"
 DOB = (
     rf"(?i){EDGE}(?:d\.?o\.?b\.?|date\s+of\s+birth|born){EDGE}[^\n]{{0,40}}"
     rf"|{EDGE}(?:0?[1-9]|[12][0-9]|3[01])[/.\-](?:0?[1-9]|1[0-2])[/.\-](?:19|20)[0-9]{{2}}{EDGE}"
 )
 URL_EXPLICIT = rf"(?i){EDGE}(?:https?://|www\.)[^\s<>\"')\]]+"
-_HOST = r"(?<![@A-Za-z0-9_.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+"
+# Labels that begin and end with a letter or digit, each with its dot: a run of single signs in which no dot
+# stands beside a dot or a hyphen. A repeated group of labels would recurse once a label.
+_HOST = r"(?<![@A-Za-z0-9_.-])[a-z0-9](?:[a-z0-9.-](?<![.][.-]|-[.]))*(?<=[a-z0-9])[.]"
 URL_PATH = rf"(?i){_HOST}[a-z]{{2,}}/[^\s<>\"')\]]*"
 URL_BARE = rf"(?i){_HOST}(?:{'|'.join(BARE_ENDINGS)}){EDGE}"
 URLS = (URL_EXPLICIT, URL_PATH, URL_BARE)
