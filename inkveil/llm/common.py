@@ -6,6 +6,7 @@ import itertools
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,14 @@ def stable(df: DataFrame) -> DataFrame:
     return df if plain_scan(df) else cut(df)
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """A column's texts. Bytes that are no UTF-8 are read as the replacement character; only batches that have some take longer."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def numbered(names: list[str], wanted: str) -> str:
     """wanted, or wanted with a number, so that it clashes with none of names (in any case)."""
     low = {n.lower() for n in names}
