@@ -5,13 +5,20 @@ learns each bit. A text's bits are decoded to the language whose codeword costs
 least, every bit weighing as much as it proved right in training, so some wrong
 bits are corrected. A small gap between the two cheapest flags ambiguity.
 
-Every language is learned. Training takes at most PER_LANGUAGE texts of each,
-and fewer once all would be over TRAINING: those whose ids have the smallest hashes; prediction reads every text whole. Only text enters a
-prediction.
+Every language is learned. Training takes at most PER_LANGUAGE ids of each, and
+fewer once all would be over TRAINING: those with the smallest hashes; of rows
+that share an id and a language the text with the smallest hash counts. So the
+driver gets TRAINING rows of FEATURES half-precision shares at most (64 MB), or one a
+language where there are more languages than that. Prediction reads every text
+whole. Only text enters a prediction.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; no
-training rows make every text ``und``; null languages are not learned; repeated
-rows are predicted alike; an empty table gives an empty result.
+training rows make every text ``und``; null languages are not learned; texts of
+any length are read whole, a batch's letters at a time; bytes that are no UTF-8
+are read as the replacement character; of languages that cost the same the first
+by name wins, and such a text is flagged ambiguous; repeated rows are predicted
+alike; other columns pass through untouched inside ``row``, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import prepare, spread, widened
+from inkveil.llm.common import prepare, spread, texts_of, widened
 
 #: Training texts of each language, at most.
 PER_LANGUAGE = 500
 #: Training texts of all languages, at most, but one of each in any case: many languages get fewer each.
-TRAINING = 64 * PER_LANGUAGE
+TRAINING = 16 * PER_LANGUAGE
 #: Hashed features.
 FEATURES = 4096
 #: Probability gap between the best two below which a text is ambiguous.
@@ -116,28 +123,32 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return Model(languages, code, w, b, trust / trust.mean())
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """A model of all languages of df, from at most PER_LANGUAGE rows of each."""
-    prepare(df.sparkSession)
+def sampled(df: DataFrame, lang_col: str, text_col: str, id_col: str) -> DataFrame:
+    """lang, text of the training rows: at most PER_LANGUAGE ids of each language."""
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    slim = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    slim = rows.select("id", "lang").distinct()
     langs = slim.select("lang").distinct().count()
-    if not langs:
-        return fit(np.zeros((0, FEATURES), dtype=np.float32), [])
-    most = max(1, min(PER_LANGUAGE, TRAINING // langs))
+    most = max(1, min(PER_LANGUAGE, TRAINING // max(1, langs)))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))  # cut to the first of each partition before the shuffle
-    ids = F.broadcast(slim.withColumn("rank", rank).filter(F.col("rank") <= most).select("id").distinct())
-    sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sample = sample.join(ids, sample["id"].eqNullSafe(ids["id"]), "left_semi").select("lang", "text")
+    ids = F.broadcast(slim.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("id").alias("of"), F.col("lang").alias("in")))  # most * langs rows
+    met = rows.join(ids, rows["id"].eqNullSafe(F.col("of")) & (rows["lang"] == F.col("in")), "left_semi")
+    return met.groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("lang", "first.text")
+
+
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """A model of all languages of df, from at most PER_LANGUAGE ids of each."""
+    prepare(df.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            texts = texts_of(batch.column(1))
+            x = [r.astype(np.float16).tobytes() for at in range(0, len(texts), 64) for r in features(texts[at : at + 64])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    got = sample.mapInArrow(counted, "lang string, x binary").limit(2 * most * langs).collect()
+    got = sampled(df, lang_col, text_col, id_col).mapInArrow(counted, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]) if got else np.zeros((0, FEATURES), dtype=np.float32)
+    x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, FEATURES), dtype=np.float32)
     return fit(x, [r["lang"] for r in got])
 
 
@@ -149,7 +160,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).field(text_col).to_pylist()
+            texts = texts_of(batch.column(0).field(text_col))
             found = [x for at in range(0, len(texts), 128) for x in model.predict(texts[at : at + 128])]
             columns = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays(
