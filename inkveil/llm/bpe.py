@@ -11,7 +11,11 @@ merge ever crosses separates independent halves, so what stays in the window
 is encoded as if it stood alone.
 
 Words repeat, so each worker keeps a bounded memo of short words; it only saves
-time. Texts are read in blocks, and block ends fall between words.
+time. Texts are read in blocks, and block ends fall between words. A run without
+white space that is longer than a block is streamed too: it is normalised in
+chunks, cut where the next character neither joins the one before nor moves it,
+a chunk's last piece stays open for the next chunk, and its letters go into the
+transducer as they come.
 
 Normalising and splitting follow the tokenizer file: canonical composition,
 white space to one space, lower case by character, contractions, runs of
@@ -22,11 +26,17 @@ version.
 
 Decoding is an incremental machine: ids go to token strings, byte letters to
 bytes, and bytes to text through a UTF-8 decoder that holds an incomplete
-character until its end comes. A tokenizer file without a decoder joins token
-strings by spaces; ``decode_stream`` does that too, for equal results.
+character until its end comes. A tokenizer file without a decoder makes the
+library's ``decode`` join the bare token strings by spaces, word ends and byte
+letters as they are; the machine gives that string too, and the query holds the
+one against the library and gives a digest of the other beside it.
 
 Defined cases: null text is empty, and an empty text has no ids and decodes to
-the empty text; an empty table gives an empty result.
+the empty text; bytes that are no UTF-8 are read as the replacement character;
+texts of any length and runs of any length take constant memory beside the text
+itself, but for a character under very many marks, which is one unit; repeated
+rows are encoded each; other columns pass through untouched inside ``row`` or are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,14 +50,14 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import prepare, spread, widened
+from inkveil.llm.common import prepare, spread, texts_of, widened
 
 #: Memo entries for a worker; the memo starts anew when it is full.
 MEMO = 300_000
@@ -57,6 +67,8 @@ LIBRARY_MEMO = 1_200_000
 MEMO_LETTERS = 48
 #: Characters of text handled at once.
 BLOCK = 1 << 16
+#: Characters of a run that are normalised at once where a run is streamed.
+CHUNK = 1 << 12
 #: White space as the tokenizer's pattern has it; Python's own class has four more.
 SPACE = "[^\\S\x1c-\x1f]"
 #: Letters, digits and signs whose classes are the same in all Unicode versions in use.
@@ -75,6 +87,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)}
 
 
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that compose with the one before them: second halves of canonical pairs, and vowels and finals of Hangul."""
+    found = {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0xC0, 0x110000)):
+        pair = unicodedata.decomposition(c).split()
+        if len(pair) == 2 and not pair[0].startswith("<"):
+            found.add(chr(int(pair[1], 16)))
+    return frozenset(found)
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "</w>") -> int:
     """Symbols beyond a token's end that can decide whether it stays; see the module's text."""
     width = lambda t: max(1, len(t.removesuffix(suffix)))
@@ -178,9 +201,11 @@ class Codec:
         parts = spec["pre_tokenizer"]["pretokenizers"]
         self.pieces = regex.compile(parts[0]["pattern"]["Regex"])
         self.specials = re.compile("|".join(map(re.escape, self.special)))
+        self.contractions = set(re.findall(r"'[a-z]+", parts[0]["pattern"]["Regex"]))
         self.memo: dict[str, array] = {}
         self.words: dict[str, array] = {}
         self._library = None
+        self._bytes: list[bytes] | None = None
 
     @property
     def library(self):
@@ -203,6 +228,64 @@ class Codec:
             word = m[0]
             yield word if word.isascii() and "\x20" < min(word) and "\x7f" not in word else "".join([letter[b] for b in word.encode()])
 
+    def letters(self, piece: str) -> str:
+        return "".join([self.letter[b] for b in piece.encode()])
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """A chunk of a run, normalised and split."""
+        if SETTLED.search(chunk):
+            norm = self.library.normalizer.normalize_str(chunk)
+            return [bytes(map(self.byte.__getitem__, x)).decode() for x, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+        return self.pieces.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+
+    def _parts(self, text: str, at: int, stop: int) -> Iterator[tuple[str, bool]]:
+        """Byte letters of text[at:stop], a run without special tokens, and whether a word ends with them."""
+        held, joins = "", joining()
+        while at < stop:
+            end = min(at + CHUNK, stop)
+            while end < stop and not text[end].isascii() and (unicodedata.combining(text[end]) or text[end] in joins):
+                end += 1
+            pieces = self._pieces(held + text[at:end])
+            at, held = end, ""
+            if at < stop and pieces and pieces[-1] not in self.contractions:
+                # The last piece may go on. What decides how is held back: its last sign, and an apostrophe before it.
+                last = pieces.pop()
+                if pieces and pieces[-1] == "'" and any(x.startswith("'" + last) for x in self.contractions):
+                    held = pieces.pop() + last
+                else:
+                    n = 2 if last.endswith("'") else 1
+                    held = last[-n:]
+                    if len(last) > n:
+                        pieces.append(last[:-n])
+                        yield from ((self.letters(x), True) for x in pieces[:-1])
+                        yield self.letters(pieces[-1]), False
+                        continue
+            yield from ((self.letters(x), True) for x in pieces)
+        if held:
+            yield from ((self.letters(x), True) for x in self._pieces(held))
+
+    def stream(self, text: str, at: int, stop: int) -> Iterator[array]:
+        """Ids of a run text[at:stop] of any length, in arrays of bounded size."""
+
+        def words(parts: Iterator[tuple[str, bool]]) -> Iterator[int]:
+            for part, ends in parts:
+
+                def letters(part=part, ends=ends):
+                    yield from part
+                    while not ends:
+                        part, ends = next(parts)
+                        yield from part
+
+                yield from self.transducer.word(letters())
+
+        for m in chain(self.specials.finditer(text, at, stop), (None,)):
+            ids = words(self._parts(text, at, m.start() if m else stop))
+            while block := array("I", islice(ids, CHUNK)):
+                yield block
+            if m:
+                yield array("I", [self.special[m[0]]])
+                at = m.end()
+
     def word(self, word: str) -> array:
         """Ids of one word of byte letters."""
         ids = self.words.get(word)
@@ -227,23 +310,35 @@ class Codec:
             ids += self.word(word)
         return ids
 
-    def blocks(self, text: str) -> Iterator[list[str]]:
-        """The runs between white space, a block at a time. No normalising step crosses white space."""
+    def blocks(self, text: str) -> Iterator[list[str] | tuple[int, int]]:
+        """The runs between white space, a block at a time; of a run that passes a block's end by far, its place. No normalising step crosses white space."""
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         space = re.compile(SPACE)
+        cut = lambda block: [x for x in re.split(f"{SPACE}+", block) if x] if odd else block.split()
         at = 0
         while at < len(text):
             end = at + BLOCK
             if end < len(text):
                 m = space.search(text, end)
-                end = m.start() if m else len(text)
-            block = text[at:end]
-            yield [x for x in re.split(f"{SPACE}+", block) if x] if odd else block.split()
+                stop = m.start() if m else len(text)
+                if stop - end > BLOCK:
+                    begin = max((x.end() for x in space.finditer(text, at, end)), default=at)
+                    if begin > at:
+                        yield cut(text[at:begin])
+                    yield begin, stop
+                    at = stop
+                    continue
+                end = stop
+            yield cut(text[at:end])
             at = end
 
     def encode_stream(self, text: str | None) -> Iterator[array]:
         """Ids of a text, in arrays of unsigned 32-bit numbers, a block at a time."""
-        for runs in self.blocks(text or ""):
+        text = text or ""
+        for runs in self.blocks(text):
+            if isinstance(runs, tuple):
+                yield from self.stream(text, *runs)
+                continue
             memo = self.memo
             ids = array("I")
             for x in runs:
@@ -257,30 +352,41 @@ class Codec:
                 ids += got
             yield ids
 
-    def decode_stream(self, blocks: Iterator[array]) -> Iterator[str]:
-        """What the library's decode returns, a block at a time: token strings, one space between."""
-        first = True
-        for ids in blocks:
-            if ids:
-                yield ("" if first else " ") + " ".join(map(self.tokens.__getitem__, ids))
-                first = False
-
-    def text_stream(self, blocks: Iterator[array]) -> Iterator[str]:
-        """Readable text: byte letters to UTF-8, each word's end to a space."""
-        utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        specials = set(self.special.values())
-        for ids in blocks:
-            raw = bytearray()
-            for i in ids:
-                token = self.tokens[i]
+    @property
+    def bytes(self) -> list[bytes]:
+        """What each token writes: byte letters as bytes, a word's end as a space, specials as they are."""
+        if self._bytes is None:
+            specials = set(self.special.values())
+
+            def written(i: int, token: str) -> bytes:
                 if i in specials:
-                    raw += token.encode()
-                    continue
+                    return token.encode()
                 end = token.endswith(self.suffix)
-                raw += bytes(map(self.byte.__getitem__, token[: len(token) - len(self.suffix)] if end else token))
-                raw += b" " if end else b""
-            yield utf8.decode(bytes(raw))
-        yield utf8.decode(b"", True)
+                plain = token[: len(token) - len(self.suffix)] if end else token
+                return bytes(map(self.byte.__getitem__, plain)) + (b" " if end else b"")
+
+            self._bytes = [written(i, t) for i, t in enumerate(self.tokens)]
+        return self._bytes
+
+
+class Decoder:
+    """Ids in, text out, a block at a time. Holds an incomplete character and whether anything came yet, nothing else."""
+
+    def __init__(self, own: Codec):
+        self.own, self.begun = own, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def push(self, ids: array) -> tuple[str, str]:
+        """(readable text so far complete, what the library's decode returns for these ids after the ones before)."""
+        if not ids:
+            return "", ""
+        joined = (" " if self.begun else "") + " ".join(map(self.own.tokens.__getitem__, ids))
+        self.begun = True
+        return self.utf8.decode(b"".join(map(self.own.bytes.__getitem__, ids))), joined
+
+    def end(self) -> str:
+        """What was held of a character that never ended."""
+        return self.utf8.decode(b"", True)
 
 
 class LibraryIds:
@@ -336,6 +442,10 @@ class LibraryIds:
         return once
 
     def encode(self, texts: list[str | None]) -> list[array]:
+        long = {k for k, t in enumerate(texts) if t and len(t) > BLOCK and any(isinstance(x, tuple) for x in self.own.blocks(t))}
+        if long:  # runs that the library would hold whole
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in long]))
+            return [array("I", chain.from_iterable(self.own.encode_stream(t))) if k in long else next(rest) for k, t in enumerate(texts)]
         runs = [[x for block in self.own.blocks(t or "") for x in block] for t in texts]
         every = set(chain.from_iterable(runs))
         new = every.difference(self.memo)
@@ -364,34 +474,30 @@ def codec(path: str) -> Codec:
 def _digest(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for batch in batches:
-        counts, shas, backs = [], [], []
-        for text in batch.column(1).to_pylist():
-            n, sha, back = 0, hashlib.sha256(), hashlib.sha256()
-
-            def told(text=text, sha=sha):
-                nonlocal n
-                for ids in own.encode_stream(text):
-                    if ids:
-                        sha.update(((" " if n else "") + " ".join(map(own.numerals.__getitem__, ids))).encode())
-                        n += len(ids)
-                        yield ids
-
-            for part in own.decode_stream(told()):
-                back.update(part.encode())
-            counts.append(n)
-            shas.append(sha.hexdigest())
-            backs.append(back.hexdigest())
+        found = []
+        for text in texts_of(batch.column(1)):
+            n, machine, shas = 0, Decoder(own), [hashlib.sha256() for _ in range(3)]
+            for ids in own.encode_stream(text):
+                if ids:
+                    shas[0].update(((" " if n else "") + " ".join(map(own.numerals.__getitem__, ids))).encode())
+                    n += len(ids)
+                    readable, joined = machine.push(ids)
+                    shas[1].update(joined.encode())
+                    shas[2].update(readable.encode())
+            shas[2].update(machine.end().encode())
+            found.append((n, *(x.hexdigest() for x in shas)))
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            [batch.column(0), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"],
         )
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
+    """Per row: doc_id, n_tokens, and digests of the ids, of the library's string decoded from them, and of the readable text."""
     prepare(df.sparkSession)
     slim = spread(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(lambda b: _digest(path, b), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(lambda b: _digest(path, b), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string")
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -403,13 +509,19 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     def told(batches):
         own = codec(path)
         for batch in batches:
-            texts = batch.column(0).field(text_col).to_pylist()
+            texts = texts_of(batch.column(0).field(text_col))
             ids = [[i for part in own.encode_stream(t) for i in part] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["row", ids_col])
 
     return rows.mapInArrow(told, schema)
 
 
+def _readable(own: Codec, ids: list[int]) -> str:
+    machine = Decoder(own)
+    parts = [machine.push(array("I", ids[at : at + BLOCK]))[0] for at in range(0, len(ids), BLOCK)]
+    return "".join([*parts, machine.end()])
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """df's ids back to readable text, in a column beside the struct ``row``."""
     prepare(df.sparkSession)
@@ -420,7 +532,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text"
         own = codec(path)
         for batch in batches:
             ids = batch.column(0).field(ids_col).to_pylist()
-            texts = ["".join(own.text_stream(iter([array("I", x or [])]))) for x in ids]
+            texts = [_readable(own, x or []) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", out_col])
 
     return rows.mapInArrow(told, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkveil.llm.bpe import library_ids
-from inkveil.llm.common import prepare, spread
+from inkveil.llm.common import prepare, spread, texts_of
 
 CAPACITY = 4096
 #: Pieces that wait at once.
@@ -153,7 +153,7 @@ def _packed(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     for given in batches:
         rows: list[tuple] = []
-        encoded = own.encode(given.column(1).to_pylist())
+        encoded = own.encode(texts_of(given.column(1)))
         for doc_id, ids in zip(given.column(0).to_pylist(), encoded, strict=True):
             ids.append(END)
             rows += packer.add(doc_id, ids)

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, language_id, packing, quality_rules, toxicity
+from inkveil.llm import bpe, exact_dedup, language_id, lm_scoring, packing, quality_rules, queries, simhash, toxicity
 from inkveil.llm.queries import tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -112,7 +112,36 @@ def test_transducer_equals_the_library(library):
         want = library.encode(text, add_special_tokens=False).ids
         ids = [i for part in own.encode_stream(text) for i in part]
         assert ids == want and list(fast) == want
-        assert "".join(own.decode_stream(iter([array("I", ids)]))) == library.decode(want, skip_special_tokens=False)
+        machine = bpe.Decoder(own)
+        assert "".join(machine.push(array("I", ids[at : at + 7]))[1] for at in range(0, len(ids), 7)) == library.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 50])
+def test_runs_are_streamed_as_the_library_reads_them(library, monkeypatch, chunk):
+    """Runs cut at every kind of place: inside contractions, marks, Hangul, words, specials."""
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    own = bpe.codec(tokenizer_path())
+    texts = [t for t in odd_texts(400, chunk) if t.split()] + ["don't've!!'s'll'l'r'red''s'", "각각ᆨ한가", "é́é", "x<|endoftext|>y<|startoftext|>", "İΣσς'M'D"]
+    for run in (max(re.split(f"{bpe.SPACE}+", t), key=len) for t in texts):
+        ids = [i for part in own.stream(run, 0, len(run)) for i in part]
+        assert ids == library.encode(run, add_special_tokens=False).ids, run
+
+
+def test_long_runs_take_constant_memory(library):
+    import tracemalloc
+
+    own, by_library = bpe.codec(tokenizer_path()), bpe.library_ids(tokenizer_path())
+    text = "some words then " + "theinéa'st1!日" * 40_000 + " and more"
+    want = library.encode(text, add_special_tokens=False).ids
+    assert [i for part in own.encode_stream(text) for i in part] == want and list(by_library.encode(["a", text, None])[1]) == want
+    peaks = []
+    for n in (20_000, 80_000):
+        text = "theinéa'st1!日" * n
+        tracemalloc.start()
+        assert sum(map(len, own.encode_stream(text))) > n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 500_000
 
 
 def test_window_is_bounded_and_lookahead_suffices():
@@ -150,7 +179,8 @@ def test_round_trip_digests(spark, library):
         ids = library.encode(t, add_special_tokens=False).ids
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         want += [(i or 0, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))] * n
-    assert sorted((r[0] or 0, *r[1:]) for r in got) == sorted(want)
+    assert sorted((r[0] or 0, *r[1:4]) for r in got) == sorted(want)
+    assert {r["text_sha256"] for r in got if r["doc_id"] == 5} == {sha("word " * 3000)}
     assert bpe.round_trip(table(spark, []), tokenizer_path()).count() == 0
 
 
@@ -201,10 +231,20 @@ def test_packing_covers_every_id_once(spark, library):
 
 
 def test_language_of_held_out_texts(spark, data):
-    docs = spark.read.parquet(data.replace("0.001", "0.01") + "/documents.parquet")
-    model = language_id.train(docs.filter("doc_id % 2 = 0"))
-    got = language_id.identify(docs.filter("doc_id % 2 = 1"), model).collect()
-    assert sum(r["row"]["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    """The query's own split: it learns from rows whose crc32 modulo 4 is not 2, and is right on the others."""
+    base = data.replace("0.001", "0.01")
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    got = queries.op6_language_id(spark, base).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(lang) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 150 and sum(lang[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held) and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_sample_is_bounded_and_ordered(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAINING", 12)
+    rows = [(i // 2, f"text {i} of l{i % 3}", f"l{i % 3}") for i in range(300)] + [(7, "the same", "l9")] * 400 + [(None, "no id", "l9")] * 5
+    a, b = (sorted(map(tuple, language_id.sampled(spark.createDataFrame(r, "doc_id bigint, text string, lang string"), "lang", "text", "doc_id").collect())) for r in (rows, rows[::-1]))
+    assert a == b and len(a) == 3 * 3 + 2 and ("l9", "the same") in a and ("l9", "no id") in a
 
 
 def test_language_of_odd_rows(spark):
@@ -240,24 +280,60 @@ def test_codewords_differ(n):
 
 
 def test_folding():
-    assert toxicity.fold("Y0u 1D10T, ѕtuріd… $cum​!") == " you idiot stupid scumi "
+    assert toxicity.fold("Y0u 1D10T, ѕtuріd… $cum") == " you idiot stupid scum "
+    assert toxicity.fold("id!ot id|ot! you idiot!! wow!!great !diot | x") == " idiot idlot you idiot wow great idiot x "
+    assert toxicity.fold("ｉｄｉｏｔ ɪᴅɪᴏᴛ 𝓲𝓭𝓲𝓸𝓽 ιdιоτ i\u200bdiot") == " idiot idiot idiot idiot idiot "
+    assert toxicity.readings(toxicity.fold("ïdíöt Straße")) == (" ïdíöt straße ", " idiot strasse ") and toxicity.readings(" a ") == (" a ",)
     assert toxicity.fold(None) == toxicity.fold("") == "  "
+    assert all(len(odd) == len(plain) for odd, plain in toxicity.LOOKALIKES.values())
 
 
 def test_exceptions_cancel_matches():
-    model = toxicity.Model({" tras": 5.0, " clow": 5.0}, ("trash can",), (-3.0, 2.0, 0.1))
+    model = toxicity.Model({" tras": 5.0, " idiot ": 5.0}, ("trash can",), (-3.0, 2.0, 0.1))
     automaton = model.automaton()
     assert model.signs("the trash can", automaton)[0] == 0 and model.signs("the trash cans", automaton)[0] > 0
-    assert model.score("a clown", automaton) > 0.5 > model.score("", automaton)
+    assert model.score("such trash", automaton) > 0.5 > model.score("", automaton)
+    assert model.score("you idiot!", automaton) == model.score("you idiot", automaton) == model.score("you ïdiot", automaton) > 0.5
+    folded = toxicity.fold("Take the trash can, idiot")
+    assert toxicity.phrases(folded, model.matched(folded, automaton)) == {"can idiot"}
+    model.exceptions = ()
+    assert toxicity.phrases(folded, model.matched(folded, model.automaton())) == {"the trash", "trash can", "can idiot"}
+
+
+def test_exceptions_are_learned(spark):
+    """trash marks toxic texts, but not in trash can; the same rows in another order teach the same."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfgklmnprsv") + rng.choice("aeiou") for _ in range(4))
+    text = lambda *own: " ".join(sorted([word() for _ in range(30)] + list(own), key=lambda _: rng.random()))
+    rows = [(i, text("trash"), 1) for i in range(200)] + [(1000 + i, text(*(["trash can"] if i < 40 else [])), 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    models = [toxicity.train(x, x.select("doc_id", "toxic")) for x in (df, spark.createDataFrame(rows[::-1], df.schema).repartition(5))]
+    assert models[0] == models[1] and "trash can" in models[0].exceptions and any(e.startswith(" tras") for e in models[0].lexicon)
+    automaton = models[0].automaton()
+    assert models[0].score(text("trash"), automaton) >= 0.5 > models[0].score(text("trash can"), automaton)
 
 
 def test_toxicity_of_held_out_texts(spark, data):
+    """The query's own split: it learns from rows whose crc32 modulo 5 is not 0."""
     base = data.replace("0.001", "0.1")
-    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
-    got = toxicity.score(docs.join(labels.filter("doc_id % 2 = 1"), "doc_id"), model).collect()
-    bad, good = ([r["predicted"] for r in got if r["row"]["toxic"] == y] for y in (1, 0))
-    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
+    got = queries.op7_toxicity(spark, base).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got) and all(r["predicted"] == (r["score"] >= 0.5) for r in got)
+    bad, good = ([r["predicted"] for r in got if r["held_out"] and labels.get(r["doc_id"]) == y] for y in (1, 0))
+    assert len(bad) > 20 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """They are read as the replacement character where text is read, and as themselves where bytes are."""
+    df = spark.sql("SELECT 1L AS doc_id, decode_bad AS text, 'en' AS lang FROM (SELECT cast(x'61FF6220C3' AS string) AS decode_bad) UNION ALL SELECT 2L, 'plain words', 'en'")
+    assert {r["predicted"] for r in toxicity.score(df, toxicity.Model()).collect()} == {0}
+    assert {r["lang_pred"] for r in language_id.identify(df, language_id.train(df)).collect()} == {"en"}
+    tokens = {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(df, tokenizer_path()).collect()}
+    pieces = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(df, tokenizer_path()).collect()}
+    want = len(tokenizers.Tokenizer.from_file(tokenizer_path()).encode("a\ufffdb \ufffd", add_special_tokens=False).ids)
+    assert tokens[1] == want and pieces[1] == want + 1
+    assert {r["n_words"] for r in lm_scoring.lm_scores(df).collect()} == {2}
+    assert exact_dedup.exact_dedup(df).count() == 2 and simhash.near_duplicates(df).count() == 2
 
 
 def test_toxicity_of_odd_rows(spark):
