@@ -13,8 +13,10 @@ shuffle. What remains at its end is one part of a sequence at most a partition:
 it is cut at powers of two, where sequences need no padding.
 
 Defined cases: null or empty text packs as the end id alone; rows with equal
-ids are packed one by one; very long texts give many full pieces; an empty
-table gives an empty result.
+ids, and equal rows, are packed one by one; very long texts give many full pieces;
+bytes that are no UTF-8 are read as the replacement character; of multisets that
+leave equal slack the one with longer pieces is taken; other columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -166,5 +168,8 @@ def _packed(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     prepare(df.sparkSession)
-    slim = spread(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(lambda b: _packed(path, b), SCHEMA)
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    dealt = spread(slim)
+    if dealt is not slim:  # dealt rows come in any order; sorted, a small table packs alike each time
+        dealt = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return dealt.mapInArrow(lambda b: _packed(path, b), SCHEMA)
