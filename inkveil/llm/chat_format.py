@@ -15,7 +15,9 @@ Defined cases: a null speaker is ``unknown``; null text is empty; a null turn
 comes first; equal turn numbers go by speaker, then text; repeated rows are
 rendered each; a dialogue of system turns only has no participant and no row;
 rows without a dialogue id form one dialogue; marks inside a text are broken by
-a space, so that text cannot end a turn; an empty table gives an empty result.
+a space, so that text cannot end a turn; signs that would end a head are spelt
+out in names, each its own way; texts of any length are one segment; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +30,17 @@ from inkveil.llm.common import cut
 
 STRETCH = 256
 OPEN, CLOSE = "<|turn|>", "<|end|>"
+#: Signs that a shown name must not hold, and the one that spells them, so that different speakers have different names.
+SPELT = {c: f"%{ord(c):02X}" for c in "% \t\n\x0b\x0c\r<|>"}
 
 
 def rotate(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """Per dialogue, perspective and turn: role, name, segment, start, mask_start, mask_length (places in the whole, in characters)."""
     speaker = F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown"))
     safe = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    name = F.regexp_replace(speaker, r"[\s<|>]+", "_")
+    name = speaker
+    for sign, spelt in SPELT.items():
+        name = F.replace(name, F.lit(sign), F.lit(spelt))
     turns = df.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), speaker.alias("speaker"), name.alias("shown"), safe.alias("said"))
     turns = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 60))))
     people = turns.filter(F.col("speaker") != system).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
@@ -63,11 +69,14 @@ def rotate(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", speak
     )
 
 
+_SHOWN = "coalesce(role, 'unknown')"
+for _sign, _spelt in SPELT.items():
+    _SHOWN = f"replace({_SHOWN}, chr({ord(_sign)}), '{_spelt}')"
+
 #: DuckDB: the same rows with one window over each rendering.
 ORACLE_SQL = f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
-         regexp_replace(coalesce(role, 'unknown'), '[\\s<|>]+', '_', 'g') AS shown,
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, {_SHOWN} AS shown,
          replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
 seen AS (

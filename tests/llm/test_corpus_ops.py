@@ -163,8 +163,11 @@ def test_each_speaker_is_once_the_assistant(spark):
         masked = "".join(text[r["mask_start"] : r["mask_start"] + r["mask_length"]] for r in rows)
         assert masked.count("<|end|>") == sum(r["role"] == "assistant" for r in rows) and me != "system"
     ann = "".join(r["segment"] for r in whole["c", "ann"])
-    assert ann.startswith("<|turn|>system\nBe kind < |end|><|end|>\n<|turn|>assistant\nHello<|end|>\n<|turn|>user name=bob_lee\nHi Ann<|end|>\n")
+    assert ann.startswith("<|turn|>system\nBe kind < |end|><|end|>\n<|turn|>assistant\nHello<|end|>\n<|turn|>user name=bob%20lee\nHi Ann<|end|>\n")
     assert chat_format.rotate(df.limit(0)).count() == 0
+    alike = spark.createDataFrame([("f", n, who, "x" * 100_000 if n else "", "x") for n, who in enumerate(("a b", "a_b", "a  b", "a%20b", "me"))], df.schema)
+    shown = {r["name"] for r in chat_format.rotate(alike).collect() if r["perspective"] == "me" and r["role"] == "user"}
+    assert shown == {"a%20b", "a_b", "a%20%20b", "a%2520b"}
 
 
 def tidied(row):
