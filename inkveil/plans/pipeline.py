@@ -9,11 +9,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.errors import ProviderFailure
+from inkveil.errors import ProviderFailure, UnsupportedInput
+from inkveil.functions.raster import PNG_MAGIC
 from inkveil.operators import model_text, model_vision, prompts
 from inkveil.operators.layout import PAGE
 from inkveil.operators.links import describe_links, detect_links
@@ -93,8 +95,9 @@ def ordered_distinct(rows: DataFrame, key: str, value: str, order: list[str], ou
 
 
 def build_audit(pages: DataFrame, regions: DataFrame, warnings: DataFrame, calls: DataFrame, options: RedactOptions, targets: list[Target], provider: str | None, started: float) -> DataFrame:
-    """One row per document."""
+    """One row per document, also for one that has warnings only, as nothing of it could be read."""
     docs = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    docs = docs.join(warnings.select("doc_id").distinct(), "doc_id", "full").withColumn("pages", F.coalesce("pages", F.lit(0)))
     sources = ordered_distinct(pages, "doc_id", "text_source", ["page"], "text_sources")
     told = ordered_distinct(warnings, "doc_id", "warning", ["stage", "page", "ord"], "warnings")
     used = calls.groupBy("doc_id").agg(F.sum("calls").alias("llm_calls"))
@@ -203,13 +206,24 @@ def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return Pages(pages, text_lines(docs, id_col, text_col), text_words(docs, id_col, text_col))
 
 
-def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes, int], list] | None = None, ocr: Callable | None = None) -> Pages:
-    """Files as pages. Simple PDFs give words and links; their pictures take a renderer, a function from (bytes, dpi) to RGB arrays.
+UNPAINTED = "no renderer was given, so this PDF was searched, and no page of it was painted"
 
-    Pages without words are read by ocr, a function from a language to an engine
-    (see recognise), unless options.ocr is off; without an engine a warning says
-    so once a document. Documents over the limits are left out and told of in
-    warnings.
+
+def file_pages(
+    files: DataFrame,
+    options: RedactOptions,
+    render: Callable[[bytes, int], list] | None = None,
+    ocr: Callable | None = None,
+    pictures: DataFrame | None = None,
+) -> Pages:
+    """Files as pages. PDFs give words and links; their pictures take a renderer, a function from (bytes, dpi) to RGB arrays.
+
+    PNG files are decoded here; other pictures come from ``pictures``, as
+    read_images gives them. Pages without words are read by ocr, a function from
+    a language to an engine (see recognise), unless options.ocr is off; without an
+    engine a warning says so once a document. Files of other kinds, files that
+    cannot be read, and documents over the limits are left out and told of in
+    warnings, as are PDFs that nothing can draw.
     """
     import pyarrow as pa
 
@@ -217,16 +231,28 @@ def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes
     from inkveil.operators.layout import build_lines, page_words
     from inkveil.sources import files as fs
 
-    sizes, runs, links = fs.pdf_layers(files, options.dpi)
+    kind = fs.sniff(F.col("content"))
+    named = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+    sizes, runs, links, errors = fs.pdf_layers(files, options.dpi)
     limits = fs.check_limits(sizes, options.dpi, options.max_pages)
     good = limits.filter("error is null").select("doc_id")
     words = page_words(runs.join(good, "doc_id", "left_semi"))
     sizes, links = sizes.join(good, "doc_id", "left_semi"), links.join(good, "doc_id", "left_semi")
     has = words.groupBy(*PAGE).agg(F.lit("pdf-text-layer").alias("text_source"))
     pdf_pages = sizes.join(has, PAGE, "left").withColumn("text_source", F.coalesce("text_source", F.lit("none")))
-    pictures = fs.load_images(files)
-    pages = pdf_pages.unionByName(pictures.select(*pdf_pages.columns))
-    images = pictures.select("doc_id", "page", "image")
+    own = fs.image_rows(files)
+    if pictures is not None:
+        others = named.filter((kind == "image") & ~F.col("content").startswith(F.lit(PNG_MAGIC))).select("doc_id")
+        decoded = others.join(pictures, "doc_id", "left").withColumn("page", F.lit(0))
+        lost = F.when(F.col("image").isNull(), F.lit(fs.told_failure("picture", ValueError("the decoder gave nothing"))))
+        decoded = decoded.withColumn("error", lost).select(*own.columns)
+        own = own.join(others, "doc_id", "left_anti").unionByName(decoded)
+    drawn_pictures = own.filter("error is null").drop("error")
+    pages = pdf_pages.unionByName(drawn_pictures.select(*pdf_pages.columns))
+    images = drawn_pictures.select("doc_id", "page", "image")
+    told = [limits.filter("error is not null").select("doc_id", F.concat(F.lit(f"{UnsupportedInput.code}: "), "error").alias("warning"))]
+    told += [x.filter("error is not null").select("doc_id", F.col("error").alias("warning")) for x in (errors, own)]
+    told.append(named.filter(kind == "unsupported").select("doc_id", F.lit(f"{UnsupportedInput.code}: {fs.OTHER_KIND}").alias("warning")))
     if render is not None:
 
         def drawn(batches):
@@ -235,9 +261,10 @@ def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes
                     for k, image in enumerate(render(content, options.dpi)):
                         yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "page": pa.array([k], pa.int32()), "image": [encode_png(image)]})
 
-        pdfs = files.filter(fs.sniff(F.col("content")) == "pdf").select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(good, "doc_id", "left_semi")
+        pdfs = named.filter(kind == "pdf").join(good, "doc_id", "left_semi")
         images = images.unionByName(pdfs.mapInArrow(drawn, "doc_id string, page int, image binary"))
-    told = limits.filter("error is not null").select("doc_id", F.col("error").alias("warning"))
+    else:
+        told.append(good.select("doc_id", F.lit(UNPAINTED).alias("warning")))
     unread = pages.filter(F.col("text_source") == "none")
     if options.ocr and ocr is not None:
         options.progress("ocr")
@@ -246,10 +273,17 @@ def file_pages(files: DataFrame, options: RedactOptions, render: Callable[[bytes
         seen = read.select(*PAGE, F.lit("ocr").alias("by")).distinct()
         pages = pages.join(seen, PAGE, "left").withColumn("text_source", F.coalesce("by", "text_source")).drop("by")
     elif options.ocr:
-        told = told.unionByName(unread.select("doc_id", F.lit(fs.OCR_MISSING).alias("warning")).distinct())
+        told.append(unread.select("doc_id", F.lit(fs.OCR_MISSING).alias("warning")).distinct())
     context = None
     if options.context_url:
         got = fs.context_table(files, options.context_url)
         context = got.filter("markdown is not null").select("doc_id", "markdown")
-        told = told.unionByName(got.filter("warning is not null").select("doc_id", "warning"))
-    return replace(Pages(pages, build_lines(words), words), links=links, images=images, context=context, warnings=told)
+        told.append(got.filter("warning is not null").select("doc_id", "warning"))
+    return replace(Pages(pages, build_lines(words), words), links=links, images=images, context=context, warnings=reduce(DataFrame.unionByName, told))
+
+
+def folder_pages(spark: SparkSession, path: str, options: RedactOptions, render: Callable[[bytes, int], list] | None = None, ocr: Callable | None = None) -> Pages:
+    """The files under path as pages; pictures other than PNG are decoded by the JVM's readers."""
+    from inkveil.sources import files as fs
+
+    return file_pages(fs.read_files(spark, path), options, render, ocr, fs.read_images(spark, path))

@@ -1,14 +1,15 @@
-"""Documents from files: sniffing, limits, pictures, simple PDFs, recognised words, context.
+"""Documents from files: sniffing, limits, pictures, PDFs, recognised words, context.
 
 ``binaryFile`` reads whole files; columns that only need the first bytes are
-computed in the JVM. Rendering of arbitrary PDFs needs a renderer that is not
-part of this library: pass one, a function from (bytes, dpi, options) to pages.
+computed in the JVM. A file that cannot be read costs its own document, which is
+told of, and never the job. Drawing PDFs needs a renderer that is not part of
+this library: pass one, a function from (bytes, dpi) to pages.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,7 @@ from inkveil.errors import ContextUnavailable, MissingDependency, UnsupportedInp
 from inkveil.functions import raster
 from inkveil.functions.text import trimmed
 from inkveil.operators.layout import line_numbers
+from inkveil.sources.pdf import Pdf
 
 #: Pixels that a page and a document may have when drawn.
 MAX_PAGE_PIXELS, MAX_DOCUMENT_PIXELS = 40_000_000, 200_000_000
@@ -32,7 +34,12 @@ PAGES = "doc_id string, page int, width double, height double, point_width doubl
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the path), content."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
+    return spark.read.format("binaryFile").load(path).select(_path(F.col("path")).alias("doc_id"), "content")
+
+
+def _path(name: Column) -> Column:
+    """A path as one of two sources writes it: local ones with one slash."""
+    return F.regexp_replace(name, "^file:/+", "file:/")
 
 
 def sniff(content: Column) -> Column:
@@ -43,13 +50,16 @@ def sniff(content: Column) -> Column:
     return F.when((size > 4) & (start(5) == "255044462D"), "pdf").when(picture, "image").otherwise("unsupported")
 
 
+OTHER_KIND = "Input is not a PDF, PNG, JPEG or WebP. Office formats must be converted to PDF first, as their text has no fixed place."
+
+
 def sniff_bytes(data: bytes) -> str:
     """The same test for one file on the driver or in a worker; unsupported input fails."""
     if data[:5] == b"%PDF-":
         return "pdf"
     if (data[:8] == raster.PNG_MAGIC and len(data) > 8) or (data[:3] == b"\xff\xd8\xff" and len(data) > 3) or (data[:4] == b"RIFF" and len(data) > 12):
         return "image"
-    raise UnsupportedInput("Input is not a PDF, PNG, JPEG or WebP. Office formats must be converted to PDF first, as their text has no fixed place.")
+    raise UnsupportedInput(OTHER_KIND)
 
 
 def check_limits(pages: DataFrame, dpi: int, max_pages: int = 0) -> DataFrame:
@@ -68,110 +78,40 @@ def check_limits(pages: DataFrame, dpi: int, max_pages: int = 0) -> DataFrame:
     return sums.select("doc_id", "n_pages", mega(F.col("total")).alias("megapixels"), error.alias("error"))
 
 
-class SimplePdf:
-    """Pages, text runs and links of PDFs whose objects stand plainly in the file and whose streams are bare or deflated.
+#: What goes wrong in a file that is not what it says; anything else is this library's fault and fails.
+BROKEN = (UnsupportedInput, ValueError, TypeError, LookupError, ArithmeticError, RecursionError, AttributeError)
 
-    It reads page boxes, Tm, Td, TD, T*, Tf, Tj, ' and TJ, and Link annotations
-    with a URI. Object streams, encryption, forms and encodings beyond Latin-1
-    are out of its reach; a page it finds no text on has none.
-    """
 
-    def __init__(self, data: bytes):
-        self.objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
-        self.pages = [n for n, body in self.objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-
-    def _ref(self, body: bytes, key: bytes) -> list[int]:
-        m = re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        return [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m else []
-
-    def _stream(self, n: int) -> bytes:
-        body = self.objects.get(n, b"")
-        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
-        if not m:
-            return b""
-        return zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in body[: m.start()] else m[1]
-
-    def box(self, n: int) -> tuple[float, float]:
-        for at in [n, *self._ref(self.objects[n], b"Parent")]:
-            m = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", self.objects.get(at, b""))
-            if m:
-                x0, y0, x1, y1 = map(float, m.groups())
-                return x1 - x0, y1 - y0
-        return 612.0, 792.0
-
-    def runs(self, n: int) -> list[tuple[str, float, float, float]]:
-        """(text, left, baseline, font height) in points from the page's lower left."""
-        text = b"\n".join(self._stream(k) for k in self._ref(self.objects[n], b"Contents"))
-        token = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?[\d.]+|[A-Za-z'\"*]+", re.S)
-        out, stack, size, line, at, leading, width = [], [], 12.0, [1, 0, 0, 1, 0, 0], [0.0, 0.0], 0.0, 0.0
-
-        def shown(piece: bytes) -> str:
-            if piece[:1] == b"<":
-                return bytes.fromhex(re.sub(rb"\s", b"", piece[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", piece[1:-1])) % 2)).decode("latin-1")
-            plain = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), piece[1:-1])
-            names = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
-            return re.sub(rb"\\(.)", lambda m: names.get(m[1], m[1]), plain, flags=re.S).decode("latin-1")
-
-        for m in token.finditer(text):
-            t = m[0]
-            if t[:1] in b"(</[]+-.0123456789":
-                stack.append(t)
-                continue
-            num = [float(x) for x in stack if re.fullmatch(rb"[-+]?(\d+\.?\d*|\.\d+)", x)]
-            if t == b"BT":
-                line, at, width = [1, 0, 0, 1, 0, 0], [0.0, 0.0], 0.0
-            elif t == b"Tf" and num:
-                size = num[-1]
-            elif t == b"TL" and num:
-                leading = num[-1]
-            elif t == b"Tm" and len(num) >= 6:
-                line, at, width = num[-6:], [0.0, 0.0], 0.0
-            elif t in (b"Td", b"TD") and len(num) >= 2:
-                at, width = [at[0] + num[-2], at[1] + num[-1]], 0.0
-                leading = -num[-1] if t == b"TD" else leading
-            elif t in (b"T*", b"'"):
-                at, width = [at[0], at[1] - leading], 0.0
-            if t in (b"Tj", b"TJ", b"'"):
-                said = "".join(shown(x) for x in stack if x[:1] in b"(<")
-                height = size * math.hypot(line[2], line[3])
-                if said.strip() and height > 0:
-                    out.append((said, line[4] + (at[0] + width) * line[0] + at[1] * line[2], line[5] + at[0] * line[1] + at[1] * line[3], height))
-                width += 0.5 * size * len(said)
-            stack = []
-        return out
-
-    def links(self, n: int) -> list[tuple[str, list[float]]]:
-        out = []
-        for k in self._ref(self.objects[n], b"Annots"):
-            body = self.objects.get(k, b"")
-            uri, rect = re.search(rb"/URI\s*\(((?:\\.|[^\\)])*)\)", body), re.search(rb"/Rect\s*\[([^\]]*)\]", body)
-            numbers = [float(x) for x in rect[1].split()] if rect else []
-            if re.search(rb"/Subtype\s*/Link", body) and uri and len(numbers) >= 4:
-                out.append((uri[1].decode("latin-1"), numbers[:4]))
-        return out
-
-
-def pdf_layers(files: DataFrame, dpi: int = 150) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes, runs, links) of simple PDFs, in pixels at dpi from the top left. Columns as words_from_runs and detect_links take them."""
+def told_failure(kind: str, e: Exception) -> str:
+    return f"{UnsupportedInput.code}: this {kind} could not be read ({str(e) or type(e).__name__})"
+
+
+def pdf_layers(files: DataFrame, dpi: int = 150) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sizes, runs, links, errors) of PDFs, in pixels at dpi from the top left. Columns as words_from_runs and detect_links take them.
+
+    A document with an error has rows in errors (doc_id, error) only.
+    """
     scale = dpi / POINTS
 
+    def rows_of(what: str, doc_id: str, content: bytes) -> list[tuple]:
+        try:
+            pdf = Pdf(content)
+            pages = [(pdf.frame(p), pdf.runs(p), pdf.links(p)) for p in pdf.pages]
+        except BROKEN as e:
+            return [(doc_id, told_failure("PDF", e))] if what == "errors" else []
+        if what == "sizes":
+            return [(doc_id, k, float(math.ceil(w * scale)), float(math.ceil(h * scale)), w, h) for k, ((w, h, _), _, _) in enumerate(pages)]
+        if what == "runs":
+            return [(doc_id, k, n, r.text, r.width * scale, r.height * scale, r.left * scale, r.baseline * scale, r.font) for k, (_, runs, _) in enumerate(pages) for n, r in enumerate(runs)]
+        if what == "links":
+            return [(doc_id, k, n, url, {"x": a * scale, "y": b * scale, "width": (c - a) * scale, "height": (d - b) * scale}) for k, (_, _, links) in enumerate(pages) for n, (url, (a, b, c, d)) in enumerate(links)]
+        return []
+
     def parsed(what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    pdf, rows = SimplePdf(content), []
-                    for page, n in enumerate(pdf.pages):
-                        width, height = pdf.box(n)
-                        if what == "sizes":
-                            rows.append((doc_id, page, float(math.ceil(width * scale)), float(math.ceil(height * scale)), width, height))
-                        elif what == "runs":
-                            rows += [(doc_id, page, k, t, 0.0, h * scale, x * scale, (height - y) * scale, "") for k, (t, x, y, h) in enumerate(pdf.runs(n))]
-                        else:
-                            rows += [
-                                (doc_id, page, k, url, {"x": min(a, c) * scale, "y": (height - max(b, d)) * scale, "width": abs(c - a) * scale, "height": abs(d - b) * scale})
-                                for k, (url, (a, b, c, d)) in enumerate(pdf.links(n))
-                            ]
-                    if rows:
+                    if rows := rows_of(what, doc_id, content):
                         yield pa.RecordBatch.from_pylist([dict(zip(names[what], r, strict=True)) for r in rows], schema=arrow[what])
 
         return told
@@ -182,30 +122,48 @@ def pdf_layers(files: DataFrame, dpi: int = 150) -> tuple[DataFrame, DataFrame,
         "sizes": pa.schema([("doc_id", string), ("page", whole), ("width", number), ("height", number), ("point_width", number), ("point_height", number)]),
         "runs": pa.schema([("doc_id", string), ("page", whole), ("ord", whole), ("text", string), ("width", number), ("font_height", number), ("left", number), ("baseline", number), ("font", string)]),
         "links": pa.schema([("doc_id", string), ("page", whole), ("link_ord", whole), ("url", string), ("box", box)]),
+        "errors": pa.schema([("doc_id", string), ("error", string)]),
     }
     names = {k: v.names for k, v in arrow.items()}
     ddl = {
         "sizes": "doc_id string, page int, width double, height double, point_width double, point_height double",
         "runs": "doc_id string, page int, ord int, text string, width double, font_height double, left double, baseline double, font string",
         "links": "doc_id string, page int, link_ord int, url string, box struct<x:double,y:double,width:double,height:double>",
+        "errors": "doc_id string, error string",
     }
     slim = files.filter(sniff(F.col("content")) == "pdf").select(F.col("doc_id").cast("string").alias("doc_id"), "content")
-    return tuple(slim.mapInArrow(parsed(k), ddl[k]) for k in ("sizes", "runs", "links"))
+    return tuple(slim.mapInArrow(parsed(k), ddl[k]) for k in ("sizes", "runs", "links", "errors"))
+
+
+def _picture(doc_id: str, image: np.ndarray | None, error: str | None) -> pa.RecordBatch:
+    h, w = image.shape[:2] if image is not None else (0, 0)
+    none = pa.array([None], pa.float64())
+    row = {"doc_id": [doc_id], "page": pa.array([0], pa.int32()), "width": [float(w)], "height": [float(h)], "point_width": none, "point_height": none}
+    png = pa.array([raster.encode_png(image) if image is not None else None], pa.binary())
+    return pa.RecordBatch.from_pydict(row | {"image": png, "text_source": ["none"], "error": pa.array([error], pa.string())})
 
 
-def load_images(files: DataFrame, decode: Callable[[bytes], np.ndarray] = raster.decode_png) -> DataFrame:
-    """Pictures as documents of one page on white paper. decode turns bytes into RGB; the own one reads PNG."""
+def image_rows(files: DataFrame, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """Pictures as documents of one page, with error where one cannot be read. decode turns bytes into RGB; the own one reads PNG."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = decode(content)
-                h, w = image.shape[:2]
-                row = {"doc_id": [doc_id], "page": pa.array([0], pa.int32()), "width": [float(w)], "height": [float(h)], "point_width": pa.array([None], pa.float64()), "point_height": pa.array([None], pa.float64()), "image": [raster.encode_png(image)], "text_source": ["none"]}
-                yield pa.RecordBatch.from_pydict(row)
+                try:
+                    if decode is None and not content.startswith(raster.PNG_MAGIC):
+                        raise UnsupportedInput("no decoder for its format was given")
+                    image, error = (decode or raster.decode_png)(content), None
+                except (*BROKEN, OSError, zlib.error, struct.error) as e:
+                    image, error = None, told_failure("picture", e)
+                yield _picture(doc_id, image, error)
 
     slim = files.filter(sniff(F.col("content")) == "image").select(F.col("doc_id").cast("string").alias("doc_id"), "content")
-    return slim.mapInArrow(told, PAGES)
+    return slim.mapInArrow(told, f"{PAGES}, error string")
+
+
+def load_images(files: DataFrame, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """Those pictures that could be read, on white paper."""
+    return image_rows(files, decode).filter("error is null").drop("error")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -220,11 +178,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 elif channels == 4:
                     alpha = px[..., 3:].astype(np.uint16)
                     px = ((px[..., :3] * alpha + 255 * (255 - alpha) + 127) // 255).astype(np.uint8)
-                image = raster.encode_png(np.ascontiguousarray(px[..., ::-1]))  # stored blue first
-                yield pa.RecordBatch.from_pydict({"doc_id": [origin], "page": pa.array([0], pa.int32()), "width": [float(width)], "height": [float(height)], "point_width": pa.array([None], pa.float64()), "point_height": pa.array([None], pa.float64()), "image": [image], "text_source": ["none"]})
+                yield _picture(origin, np.ascontiguousarray(px[..., ::-1]), None)  # stored blue first
 
     read = spark.read.format("image").option("dropInvalid", True).load(path)
-    return read.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(told, PAGES)
+    rows = read.select(_path(F.col("image.origin")).alias("origin"), "image.height", "image.width", "image.nChannels", "image.data")
+    return rows.mapInArrow(told, f"{PAGES}, error string").drop("error")
 
 
 #: Fields of recognised words.

@@ -19,6 +19,7 @@ from inkveil.plans import oracle, queries
 from inkveil.plans.pipeline import file_pages, redact, text_pages
 from inkveil.providers import CustomProvider, ScriptedProvider, ask
 from inkveil.sources import files
+from inkveil.sources.pdf import Pdf
 from inkveil.sources.text_layout import html_links, text_lines
 from inkveil.streaming.stream import read_stream, redact_stream
 from inkveil.targets import Target, resolve_targets
@@ -205,7 +206,7 @@ def test_pdf_holds_pixels_only(spark):
 
 
 def SimplePages(pdf):
-    found_ = files.SimplePdf(pdf)
+    found_ = Pdf(pdf)
     assert all(found_.runs(n) == [] and found_.links(n) == [] for n in found_.pages)
     return len(found_.pages)
 
@@ -235,9 +236,11 @@ def test_files(spark, tmp_path):
     assert sorted(r["text"] for r in source.words.collect()) == ["Email:", "Portfolio", "Priya", "Sharma", "priya@example.com"]
     r = redact(source, options)
     assert sorted(x["target"] for x in r.regions.collect()) == ["email", "social"]
-    assert r.audit.count() == 2
+    told = {x["doc_id"][-5:]: (x["pages"], x["warnings"]) for x in r.audit.collect()}
+    assert {k: v[0] for k, v in told.items()} == {"a.pdf": 1, "b.png": 1, "c.txt": 0}
+    assert "no renderer" in told["a.pdf"][1][0] and told["c.txt"][1][0].startswith("UNSUPPORTED_INPUT: Input is not")
     small = file_pages(read, RedactOptions(("email",), dpi=2000))
-    assert "megapixels" in small.warnings.first()["warning"] and small.words.count() == 0
+    assert any("megapixels" in x["warning"] for x in small.warnings.collect()) and small.words.count() == 0
 
 
 def test_pictures_of_other_kinds(spark, tmp_path):
