@@ -14,8 +14,19 @@ PAGE = ["doc_id", "page"]
 # Parts of a run's font height above the baseline, in all, and as the mean width of a character.
 ASCENT, EXTENT, MEAN_ADVANCE = 0.88, 1.16, 0.5
 
-#: Relative advances of a proportional proxy face, by class of character; others count as 1.
-NARROW, SLIM, WIDE = "iljtfrI.,:;'|!()[] ", "sczJ-/\"*", "mwMWGOQ@%&"
+# Advance widths, in thousandths, of the signs from space to ~ in the standard faces Helvetica and Times.
+SANS = (
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
+    1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
+    333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+)
+SERIF = (
+    250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 278, 278, 564, 564, 564, 444,
+    921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500,
+    333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541,
+)
+#: Thousandths of a fixed-pitch sign, and of a sign that a face's table lacks.
+FIXED, OTHER = 600, 556
 
 
 def line_numbers(boxes: DataFrame, keys: list[str] = PAGE, order: str = "ord") -> DataFrame:
@@ -75,8 +86,17 @@ def proxy_family(name: Column) -> Column:
 
 
 def relative_advance(char: Column, family: Column) -> Column:
-    width = F.when(F.instr(F.lit(NARROW), char) > 0, 0.5).when(F.instr(F.lit(SLIM), char) > 0, 0.85).when(F.instr(F.lit(WIDE), char) > 0, 1.45).otherwise(1.0)
-    return F.when(family == "monospace", 1.0).otherwise(width)
+    """Thousandths of the font's size that a sign takes in its face; letters with accents take what the bare ones do."""
+    bare = F.translate(char, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy")
+    at = F.ascii(bare) - 32
+    width = lambda table: F.coalesce(F.get(F.array(*map(F.lit, table)), at), F.lit(OTHER))
+    return F.when(family == "monospace", FIXED).when(family == "serif", width(SERIF)).otherwise(width(SANS)).cast("double")
+
+
+def text_advance(text: Column, family: Column) -> Column:
+    """The width of a text in thousandths of the font's size."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(F.transform(chars, lambda c: relative_advance(c, family)), F.lit(0.0), lambda a, x: a + x)
 
 
 def words_from_runs(runs: DataFrame, dpi_scale: Column | float = 1.0) -> DataFrame:
@@ -93,8 +113,7 @@ def words_from_runs(runs: DataFrame, dpi_scale: Column | float = 1.0) -> DataFra
     runs = runs.withColumn("family", proxy_family(F.col("font"))).withColumn("total", total * dpi_scale)
     keep = [*PAGE, "ord", "left", "baseline", "font_height", "total", "family"]
     pieces = runs.select(*keep, F.posexplode(F.regexp_extract_all("text", F.lit(f"[{BLANK}]+|[^{BLANK}]+"), 0)).alias("piece", "word"))
-    chars = F.filter(F.split("word", ""), lambda c: c != "")
-    own = F.aggregate(F.transform(chars, lambda c: relative_advance(c, F.col("family"))), F.lit(0.0), lambda a, x: a + x)
+    own = text_advance(F.col("word"), F.col("family"))
     run = W.partitionBy(*PAGE, "ord")
     # Widths before a piece are a running sum over its run, and the run's total sets the scale.
     before = F.coalesce(F.sum("own").over(run.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))

@@ -63,6 +63,28 @@ def paint_pages(pages: DataFrame, regions: DataFrame, style: str = "blur") -> Da
     return met.mapInArrow(told, pages.schema)
 
 
+def digests(pages: DataFrame, regions: DataFrame) -> DataFrame:
+    """What painted pages show: doc_id, page, width, height, covered (pixels of regions), black (of those), ink (dark pixels elsewhere)."""
+    box = F.struct(*[F.col(f"box.{c}").alias(c) for c in ("x", "y", "width", "height")])
+    by = regions.groupBy("doc_id", "page").agg(F.collect_list(box).alias("boxes"))
+    met = pages.select("doc_id", "page", "image").join(by, ["doc_id", "page"], "left")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                image = raster.decode_png(batch.column("image")[i].as_py())
+                inside = np.zeros(image.shape[:2], bool)
+                for b in batch.column("boxes")[i].as_py() or ():
+                    inside[max(0, int(np.floor(b["y"]))) : int(np.ceil(b["y"] + b["height"])), max(0, int(np.floor(b["x"]))) : int(np.ceil(b["x"] + b["width"]))] = True
+                most = image.max(axis=2)
+                found.append((image.shape[1], image.shape[0], int(inside.sum()), int((inside & (most == 0)).sum()), int((~inside & (most < 128)).sum())))
+            counts = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), *counts], names=["doc_id", "page", "width", "height", "covered", "black", "ink"])
+
+    return met.mapInArrow(told, f"doc_id {met.schema['doc_id'].dataType.simpleString()}, page int, width long, height long, covered long, black long, ink long")
+
+
 def grid_overlays(pages: DataFrame, grid: GridOptions = GridOptions()) -> DataFrame:
     """doc_id, page, image of pages under their reference grid."""
 

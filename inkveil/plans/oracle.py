@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkveil.operators.layout import FIXED, SANS, SERIF
 from inkveil.operators.prompts import text_prompt_parts
 from inkveil.plans.pipeline import NO_PROVIDER, NOTHING_READ
 from inkveil.plans.queries import LITERALS
@@ -181,6 +182,30 @@ l AS (SELECT doc_id, string_agg(target || '=' || n, ',' ORDER BY target) AS coun
 SELECT doc_id, count(DISTINCT page) AS pages, coalesce(any_value(counts), '') AS counts FROM slots LEFT JOIN l USING (doc_id) GROUP BY doc_id"""
 
 
+def painted(black: bool) -> str:
+    """Pixels of the regions of a page, by place, and the ink of its words elsewhere: lines are wrapped after 200 characters, a character is 6 x 14 pixels of which 5 x 8 are ink."""
+    ctes = [lines(PLAIN), URLS, found("h0", EMAIL), found("h1", PHONE)]
+    return f"""WITH {','.join(ctes)},
+t AS (SELECT *, start + length(raw) - length(ltrim(raw)) AS b0, trim(raw) AS value FROM (
+  SELECT doc_id, page, slot, line_no, text AS line, raw, start, 'email' AS target, 0 AS n FROM h0 WHERE trim(raw) <> ''
+  UNION ALL SELECT doc_id, page, slot, line_no, text, raw, start, 'phone', 1 FROM h1 h WHERE trim(raw) <> '' AND {PHONE_OK} AND {NOT_IN_URL})),
+e AS (SELECT *, b0 - length(regexp_extract(line[1:b0], '[^ ]*$')) AS wb, b0 + length(value) + length(regexp_extract(substr(line, b0 + length(value) + 1), '^[^ ]*')) AS we FROM t),
+good AS (SELECT doc_id, page, target, (6 * wb)::DOUBLE AS x, (14 * slot)::DOUBLE AS y, (6 * (we - wb))::DOUBLE AS width, 12.0::DOUBLE AS height, value AS text, 1.0::DOUBLE AS confidence, 'pattern' AS source, '' AS word_id, n, line_no, start FROM e)
+{merged("y, x, n, line_no, start")},
+tops AS (SELECT *, (sum(greatest(1, (length(text) + 199) // 200)) OVER (PARTITION BY doc_id, page ORDER BY slot) - greatest(1, (length(text) + 199) // 200))::BIGINT AS top FROM slots),
+sizes AS (SELECT doc_id, page, greatest(612, 6 * least(max(length(text)), 200))::BIGINT AS width, greatest(840, 14 * sum(greatest(1, (length(text) + 199) // 200)))::BIGINT AS height,
+                 (40 * sum(length(replace(text, ' ', ''))))::BIGINT AS ink FROM slots GROUP BY doc_id, page),
+reg AS (SELECT m.doc_id, m.page, m.r.x0 AS x0, m.r.x1 AS x1, p.top, p.text FROM merged m JOIN tops p ON p.doc_id = m.doc_id AND p.page = m.page AND p.slot = floor(m.r.y0 / 14)),
+parts AS (SELECT *, unnest(range(floor(x0 / 1200)::BIGINT, ceil(x1 / 1200)::BIGINT)) AS k FROM reg),
+boxes AS (SELECT doc_id, page, text, top, greatest(0, greatest(x0 - k * 1200, 0) - 2) AS xa, least(s.width, least(x1 - k * 1200, 1200) + 2) AS xb,
+                 greatest(0, (top + k) * 14 - 2) AS ya, least(s.height, (top + k) * 14 + 14) AS yb FROM parts JOIN sizes s USING (doc_id, page)),
+cols AS (SELECT DISTINCT doc_id, page, ya, yb, unnest(range(floor(xa)::BIGINT, ceil(xb)::BIGINT)) AS px FROM boxes),
+px AS (SELECT DISTINCT doc_id, page, px, unnest(range(floor(ya)::BIGINT, ceil(yb)::BIGINT)) AS py FROM cols),
+inked AS (SELECT x.doc_id, x.page, count(*) AS n, count(*) FILTER (px % 6 < 5 AND py % 14 BETWEEN 2 AND 9 AND substr(p.text, ((py // 14 - p.top) * 200 + px // 6 + 1)::BIGINT, 1) NOT IN ('', ' ')) AS ink
+          FROM px x LEFT JOIN tops p ON p.doc_id = x.doc_id AND p.page = x.page AND py // 14 >= p.top AND py // 14 < p.top + greatest(1, (length(p.text) + 199) // 200) GROUP BY x.doc_id, x.page)
+SELECT doc_id, page, width, height, coalesce(n, 0)::BIGINT AS covered, {"coalesce(n, 0)::BIGINT AS black, " if black else ""}(s.ink - coalesce(i.ink, 0))::BIGINT AS ink FROM sizes s LEFT JOIN inked i USING (doc_id, page)"""
+
+
 def requests() -> str:
     """Sizes of text requests: what stands around the transcript, and the numbered lines."""
     around = sum(map(len, text_prompt_parts(resolve_targets(["name", "email"]))))
@@ -283,6 +308,17 @@ SELECT doc_id, n_pages, floor(total / 1e6 + 0.5)::INT AS megapixels, CASE WHEN n
   WHEN total > 200000000 THEN 'the document has ' || floor(total / 1e6 + 0.5)::INT || ' megapixels at 144 dpi, and the limit is 200' END AS error FROM s""",
         "redact_documents": flagship(),
         "text_requests": requests(),
+        "paint_box": painted(True),
+        "paint_label": painted(False),
+        "paint_pixelate": painted(False),
+        "paint_blur": painted(False),
+        "grid_overlay": f"WITH {lines(PLAIN)} SELECT doc_id, page, greatest(612, 6 * least(max(length(text)), 200))::BIGINT + 60 AS width, greatest(840, 14 * sum(greatest(1, (length(text) + 199) // 200)))::BIGINT + 60 AS height FROM slots GROUP BY doc_id, page",
+        "build_pdf": f"WITH {lines(PLAIN)} SELECT doc_id, count(DISTINCT page) AS pages, 0::BIGINT AS runs, 0::BIGINT AS links FROM slots GROUP BY doc_id",
+        "pdf_runs": """SELECT c_custkey AS doc_id, 0 AS page, c_name AS text, (2 * (100 + c_custkey % 50) + 7 - 30)::DOUBLE AS "left", (2 * (c_custkey % 100) + 5 - 20)::DOUBLE AS baseline, 20.0::DOUBLE AS font_height FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT c_custkey, 1, c_mktsegment, (2 * (c_custkey % 100) + 5 - 20)::DOUBLE, (822 - 2 * (100 + c_custkey % 50) - 7)::DOUBLE, 20.0 FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT c_custkey, -1, 'UNSUPPORTED_INPUT', NULL, NULL, NULL FROM customer WHERE c_custkey % 10 = 0""",
+        "advance_widths": f"""SELECT p_partkey, family, list_sum(list_transform(list_filter(string_split(p_name, ''), lambda c: c <> ''), lambda c: CASE family WHEN 'monospace' THEN {FIXED} WHEN 'serif' THEN {list(SERIF)}[ascii(c) - 31] ELSE {list(SANS)}[ascii(c) - 31] END))::DOUBLE AS width
+FROM part, (VALUES ('monospace'), ('serif'), ('sans-serif')) f(family)""",
         "proxy_family": "SELECT p_partkey, ['monospace', 'serif', 'sans-serif', 'serif', 'monospace', 'serif'][p_partkey % 6 + 1] AS family FROM part",
         "words_from_runs": f"WITH {words(PLAIN)} SELECT doc_id, page, ord, text, x, round(y - 8.8, 3) AS y, width FROM words",
         "ocr_words": f"WITH {words(PLAIN)} SELECT doc_id, page, count(*) AS n_words, count(DISTINCT line) AS n_lines, sum(length(text))::BIGINT AS letters FROM words WHERE ord % 50 * 2 > 30 GROUP BY doc_id, page",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -374,23 +376,64 @@ def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:
+    """What painted pages show; how much of a region is black is told for boxes only."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         images, regions, sizes = _drawn(spark, sf_dir)
-        done = paint.paint_pages(images, merge.pad_detections(regions, 2.0, sizes), style)
-        return done.select("doc_id", "page", "width", "height", F.hex(F.substring("image", 2, 3)).alias("kind"))
+        padded = merge.pad_detections(regions, 2.0, sizes)
+        found = paint.digests(paint.paint_pages(images, padded, style), padded)
+        return found if style == "box" else found.drop("black")
 
     return query
 
 
 def grid_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under their grid: the size with its margin."""
     images, _, _ = _drawn(spark, sf_dir)
-    return paint.grid_overlays(images).select("doc_id", "page", F.hex(F.substring("image", 2, 3)).alias("kind"))
+    png = paint.grid_overlays(images)
+    size = lambda at: F.conv(F.hex(F.substring("image", at, 4)), 16, 10).cast("long")
+    return png.select("doc_id", "page", size(17).alias("width"), size(21).alias("height"))
 
 
 def build_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rebuilt from pixels, read again: their pages, and the text runs and links in them."""
     images, regions, _ = _drawn(spark, sf_dir)
-    pdfs = paint.build_pdfs(paint.paint_pages(images, regions, "box"))
-    return pdfs.select("doc_id", F.decode(F.substring("pdf", 1, 5), "US-ASCII").alias("head"), (F.octet_length("pdf") > 500).alias("filled"))
+    pdfs = paint.build_pdfs(paint.paint_pages(images, regions, "box")).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("pdf").alias("content"))
+    sizes, runs, links, _ = files.pdf_layers(pdfs)
+    pages = sizes.select("doc_id", F.lit("pages").alias("what")).unionByName(runs.select("doc_id", F.lit("runs").alias("what"))).unionByName(links.select("doc_id", F.lit("links").alias("what")))
+    count = lambda what: F.count(F.when(F.col("what") == what, 1))
+    return pages.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(count("pages").alias("pages"), count("runs").alias("runs"), count("links").alias("links"))
+
+
+def _own_pdf(key: int, name: str, segment: str) -> bytes:
+    """Two pages in the tree's order, not the file's; a box that begins elsewhere; a scaled space; deflated streams. Every tenth is cut short."""
+    stream = lambda n, text: b"%d 0 obj<</Filter/FlateDecode>>stream\n%s\nendstream endobj\n" % (n, zlib.compress(b"q 2 0 0 2 5 7 cm BT /F1 10 Tf %d %d Td (%s) Tj ET Q" % (key % 100, 100 + key % 50, text.encode())))
+    out = b"%PDF-1.5\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/MediaBox[20 30 632 822]/Kids[5 0 R 3 0 R]>>endobj\n"
+    out += b"3 0 obj<</Type/Page/Contents 4 0 R>>endobj\n" + stream(4, segment)
+    out += b"5 0 obj<</Type/Page/Contents 6 0 R/Rotate 90>>endobj\n" + stream(6, name)
+    return out[:70] if key % 10 == 0 else out
+
+
+def pdf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per customer, its name on the first page and its segment on the second; what is read of it, and what could not be."""
+
+    def told(batches):
+        for batch in batches:
+            made = [_own_pdf(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    made = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").mapInArrow(told, "doc_id string, content binary")
+    _, runs, _, errors = files.pdf_layers(made, 72)
+    rows = runs.select("doc_id", "page", "text", *[F.round(c, 3).alias(c) for c in ("left", "baseline", "font_height")])
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("left", "baseline", "font_height")]
+    lost = errors.select("doc_id", F.lit(-1).alias("page"), F.substring_index("error", ":", 1).alias("text"), *nothing)
+    return rows.unionByName(lost).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def advance_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relative width of each part's name in each face."""
+    faces = F.explode(F.array(*map(F.lit, ("monospace", "serif", "sans-serif")))).alias("family")
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_name", faces).select("p_partkey", "family", F.round(layout.text_advance(F.col("p_name"), F.col("family")), 6).alias("width"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -399,7 +442,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         link_annotations, link_words_join, link_context, chunk_lines, locate_quote, detect_model_text, unlocated_quote_warnings, text_requests, defuse_text,
         grid_label, grid_parse_cell, grid_range_box, snap_to_words, detect_model_vision, vision_warnings, merge_filter, merge_detections, pad_detections,
         plan_page, page_warnings, audit_counts, audit_distinct, sniff_bytes, size_limits, proxy_family, words_from_runs, ocr_words, target_registry,
-        redact_documents, grid_overlay, build_pdf,
+        redact_documents, grid_overlay, build_pdf, pdf_runs, advance_widths,
     )
     own = {f.__name__: f for f in plain} | {"clamp_confidence": clamped}
     own |= {f"detect_{t}": _detect(_documents, [t]) for t in ("email", "phone", "social", "dob")}

@@ -275,7 +275,9 @@ class Pdf:
         raw = data[at:end]
         filters = self.of(spec.get("Filter"))
         filters = filters if isinstance(filters, list) else [filters] if filters else []
-        if filters in (["FlateDecode"], ["Fl"]):
+        if spec.get("Subtype") == "Image":
+            raw = b""
+        elif filters in (["FlateDecode"], ["Fl"]):
             try:
                 inflate = zlib.decompressobj()
                 raw = inflate.decompress(raw, MAX_STREAM)
@@ -284,7 +286,7 @@ class Pdf:
             if inflate.unconsumed_tail:
                 raise UnsupportedInput(f"A stream of the PDF is over {MAX_STREAM >> 20} MB.")
         elif filters:
-            raw = b""  # pictures and the like, which have no text
+            raw = b""  # codings of pictures, which have no text
         return Stream(spec, raw), end
 
     def _unpack(self, stream: Stream) -> None:
@@ -305,7 +307,7 @@ class Pdf:
         if "Kids" in spec:
             for kid in self.of(spec["Kids"]) or []:
                 yield from self._leaves(kid, own, seen)
-        else:
+        elif spec.get("Type") == "Page":
             yield own | spec
 
     def frame(self, page: dict) -> tuple[float, float, Matrix]:
