@@ -48,7 +48,8 @@ def text_requests(lines: DataFrame, targets: list[Target], link_sections: DataFr
         lines = lines.filter(F.lit(False))
     before, after = prompts.text_prompt_parts(wanted)
     row = F.struct("line_no", F.concat("line_no", F.lit("| "), defuse(F.col("text"))).alias("row"))
-    asked = chunk_lines(lines.select(*PAGE, "line_no", "text")).groupBy(*PAGE, "chunk").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    chunks = chunk_lines(lines.select(*PAGE, "line_no", "text"))
+    asked = chunks.groupBy(*PAGE, "chunk").agg(F.array_sort(F.collect_list(row)).alias("r"))
     prompt = F.concat(F.lit(before), F.array_join(F.transform("r", lambda x: x["row"]), "\n"), F.lit(after))
     if link_sections is not None:
         asked = asked.join(link_sections, PAGE, "left")
@@ -56,8 +57,10 @@ def text_requests(lines: DataFrame, targets: list[Target], link_sections: DataFr
     if context is not None:
         asked = asked.join(context.select("doc_id", F.col("markdown").alias("context")), "doc_id", "left")
         prompt = F.concat(prompt, F.when(trimmed(F.coalesce("context", F.lit(""))) != "", F.concat(F.lit(prompts.CONTEXT_HEADING), defuse(F.col("context")))).otherwise(""))
+    # Calls are numbered by their keys alone, so that no prompt travels to a window.
     call = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "chunk")) - 1
-    return asked.select(*PAGE, "chunk", call.alias("call"), prompt.alias("prompt"))
+    calls = chunks.select(*PAGE, "chunk").distinct().withColumn("call", call)
+    return asked.select(*PAGE, "chunk", prompt.alias("prompt")).join(calls, [*PAGE, "chunk"]).select(*PAGE, "chunk", "call", "prompt")
 
 
 def quotes(replies: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkveil.functions.geometry import clipped, overlap_ratio, union_all
+from inkveil.functions.geometry import bottom, clipped, overlap_ratio, union_all
 from inkveil.functions.grid import parse_cell, range_box
-from inkveil.functions.text import clamp_confidence
+from inkveil.functions.text import clamp_confidence, held
 from inkveil.operators import prompts
 from inkveil.operators.layout import PAGE
 from inkveil.options import GridOptions
+from inkveil.sources.text_layout import HEIGHT, LEADING, line_words
 from inkveil.targets import Target
 
 
@@ -41,8 +42,22 @@ def regions(replies: DataFrame, sizes: DataFrame, grid: GridOptions = GridOption
     return items.withColumn("region", F.when(on, region))
 
 
+def _snap_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same for fixed-pitch lines: only lines that a region touches are taken apart, and no word travels."""
+    own = lines.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "slot", "first", F.col("text").alias("said"))
+    top = F.col("slot") * LEADING
+    touched = (top < bottom(found["region"])) & (top + HEIGHT > found["region"]["y"])
+    met = found.join(own, (found["doc_id"] == own["d"]) & (found["page"] == own["p"]) & touched)
+    words = line_words(F.col("page"), F.col("slot"), F.col("first"), F.col("said"))
+    met = held(met, w=F.filter(words, lambda w: overlap_ratio(w["box"], F.col("region")) > 0.5)).filter(F.size("w") > 0)
+    pick = lambda name: F.transform("w", lambda x: x[name])
+    return met.select(*PAGE, "item", "target", "confidence", F.col("slot").alias("line"), union_all(pick("box")).alias("box"), F.array_join(pick("text"), " ").alias("text"), pick("word_id").alias("word_ids"))
+
+
 def snap(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Words of which more than half is in a region, one row per region and line: box, text, word_ids."""
+    """Words of which more than half is in a region, one row per region and line: box, text, word_ids. words may be fixed-pitch lines."""
+    if "slot" in words.columns:
+        return _snap_lines(found, words)
     w = words.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "word_id", "ord", F.col("text").alias("word"), F.col("box").alias("word_box"), "line")
     met = found.join(w, (found["doc_id"] == w["d"]) & (found["page"] == w["p"]) & (overlap_ratio(w["word_box"], found["region"]) > 0.5))
     item = F.struct(F.col("word_box.x").alias("x"), "ord", "word_id", "word", F.col("word_box").alias("box"))

@@ -17,22 +17,20 @@ VISION_SYSTEM = (
     "You name each region to cover by the two cells at opposite corners of its rectangle."
 )
 
-_ANY_PAGE = "An empty list is right only if the page has none of the targets; a page that asks for one changes nothing."
 _TEXT_RULES = (
-    "List every occurrence: one entry each, also of the same text on another line.",
-    "Go through the page once for each target, so that none is missed.",
-    "Copy the identifying text only, without its label, with spacing, case and punctuation as they are.",
-    "Text that wraps over two lines takes an entry for each.",
-    "What a link leads to is no reason to list its visible text, and being a link is none to leave it out. List it if the text is a target itself or a bare word that stands for the person's own page.",
-    "Give a confidence of 0.9 or more only when you are sure, and 0.5 to 0.8 when in doubt.",
-    _ANY_PAGE,
+    "An entry is (line, quote, target, confidence). The quote is searched for in that line as a plain string, so a changed space or sign finds nothing.",
+    "Two places are two entries, even where the words are the same; a value that runs on to the next line is two entries as well.",
+    "Leave labels such as \"Phone:\" out of the quote.",
+    "Judge visible text by what it says, whether or not it is a link.",
+    "The confidence is your estimate, from 0 to 1, that a reader could tell the person by the quote. Entries under one half are not covered.",
+    "If nothing on the page fits a target, return no entry for it.",
 )
 _VISION_RULES = (
-    "Give `from` as the top left and `to` as the bottom right cell of the smallest rectangle that covers the item, as in C4.",
-    "One entry for each occurrence; do not join two items in a rectangle.",
-    "Cover a photograph with its border.",
-    "Give a confidence of 0.9 or more only when you are sure.",
-    _ANY_PAGE,
+    "An entry is (target, from, to, confidence); `from` and `to` are cells, a column's letters and a row's number such as B7.",
+    "All cells between the two corners are covered, both corners included, so choose corners that hold the whole item and little else.",
+    "Separate items are separate entries.",
+    "The confidence is your estimate, from 0 to 1, that the item is what the target names. Entries under one half are not covered.",
+    "If nothing on the page fits a target, return no entry for it.",
 )
 
 

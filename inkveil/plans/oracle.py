@@ -206,14 +206,18 @@ inked AS (SELECT x.doc_id, x.page, count(*) AS n, count(*) FILTER (px % 6 < 5 AN
 SELECT doc_id, page, width, height, coalesce(n, 0)::BIGINT AS covered, {"coalesce(n, 0)::BIGINT AS black, " if black else ""}(s.ink - coalesce(i.ink, 0))::BIGINT AS ink FROM sizes s LEFT JOIN inked i USING (doc_id, page)"""
 
 
+_FENCE = r"(?i)<(/?page_text>)"
+
+
 def requests() -> str:
-    """Sizes of text requests: what stands around the transcript, and the numbered lines."""
-    around = sum(map(len, text_prompt_parts(resolve_targets(["name", "email"]))))
+    """Digests of text requests: what stands around the transcript, and the numbered lines."""
+    before, after = map(quoted, text_prompt_parts(resolve_targets(["name", "email"])))
     return f"""WITH RECURSIVE {lines(PLAIN)}, o AS (SELECT doc_id, page, line_no, text, length(text) + 8 AS cost FROM lines),
 f AS (SELECT doc_id, page, line_no, text, 0 AS chunk, cost AS size FROM o WHERE line_no = 1
   UNION ALL SELECT o.doc_id, o.page, o.line_no, o.text, CASE WHEN size + o.cost > 12000 THEN chunk + 1 ELSE chunk END, CASE WHEN size + o.cost > 12000 THEN o.cost ELSE size + o.cost END
   FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.line_no = f.line_no + 1)
-SELECT doc_id, page, chunk, (row_number() OVER (PARTITION BY doc_id ORDER BY page, chunk) - 1)::INT AS call, ({around} + sum(length(line_no::VARCHAR) + 2 + length(text)) + count(*) - 1)::INT AS size, 1 AS ends
+SELECT doc_id, page, chunk, (row_number() OVER (PARTITION BY doc_id ORDER BY page, chunk) - 1)::INT AS call,
+       md5({before} || string_agg(line_no || '| ' || regexp_replace(text, '{_FENCE}', '‹\\1', 'g'), chr(10) ORDER BY line_no) || {after}) AS digest, 1 AS ends
 FROM f GROUP BY doc_id, page, chunk"""
 
 
@@ -234,8 +238,6 @@ _COL = lambda s: f"list_reduce(list_transform(string_split(upper(regexp_extract(
 _ROW = lambda s: f"(regexp_extract({s}, '[0-9]+')::INT - 1)"
 _OK = lambda s: f"(regexp_matches({s}, '^\\s*[A-Za-z]{{1,3}}\\s*[0-9]{{1,3}}\\s*$') AND {_ROW(s)} >= 0)"
 
-_FENCE = r"(?i)<(/?page_text>)"
-
 
 def oracle_sql() -> dict[str, str]:
     out = {

@@ -173,7 +173,7 @@ def redact(
                 requests = requests.join(grid_overlays(source.images.join(some.select(*PAGE), PAGE, "left_semi"), options.grid), PAGE)
             replies = answered(requests, recorded[1], prompts.VISION_SYSTEM, prompts.VISION_SCHEMA, 4096, images=recorded[1] is None)
             regions = model_vision.regions(replies, source.pages, options.grid)
-            detections, told = model_vision.detect_vision(regions, source.words, targets, options.grid, options.snap_visual)
+            detections, told = model_vision.detect_vision(regions, source.lines if "slot" in source.lines.columns else source.words, targets, options.grid, options.snap_visual)
             found = found.unionByName(detections)
             warned.append(told.withColumn("ord", F.lit(1)).withColumn("stage", F.lit(3)))
             calls.append(requests.groupBy("doc_id").agg(F.count("*").alias("calls")))

@@ -184,7 +184,7 @@ def unlocated_quote_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text_layout.text_lines(_table(spark, sf_dir, "documents"))
     asked = model_text.text_requests(lines, resolve_targets(["name", "email"]))
-    return asked.select("doc_id", "page", "chunk", "call", F.length("prompt").alias("size"), F.regexp_count("prompt", F.lit("</page_text>")).alias("ends"))
+    return asked.select("doc_id", "page", "chunk", "call", F.md5("prompt").alias("digest"), F.regexp_count("prompt", F.lit("</page_text>")).alias("ends"))
 
 
 def defuse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,20 +233,20 @@ def snap_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = text_layout.page_sizes(docs)
     found = model_vision.regions(_vision_replies(sizes), sizes)
-    return flat(model_vision.snap(found.filter("region is not null"), text_layout.text_words(docs))).drop("confidence")
+    return flat(model_vision.snap(found.filter("region is not null"), text_layout.text_lines(docs))).drop("confidence")
 
 
 def detect_model_vision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = text_layout.page_sizes(docs)
     found = model_vision.regions(_vision_replies(sizes), sizes)
-    return flat(model_vision.detect_vision(found, text_layout.text_words(docs), resolve_targets(["name", "photo"]))[0]).drop("source")
+    return flat(model_vision.detect_vision(found, text_layout.text_lines(docs), resolve_targets(["name", "photo"]))[0]).drop("source")
 
 
 def vision_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = text_layout.page_sizes(docs)
-    return model_vision.detect_vision(model_vision.regions(_vision_replies(sizes), sizes), text_layout.text_words(docs), resolve_targets(["name"]))[1]
+    return model_vision.detect_vision(model_vision.regions(_vision_replies(sizes), sizes), text_layout.text_lines(docs), resolve_targets(["name"]))[1]
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,21 +65,21 @@ class Target:
 
 
 _TARGETS = (
-    Target("name", "The person's own name, in headings, footers and signatures. Not names of firms, schools, tools or other people."),
-    Target("email", "Email addresses of the person.", (EMAIL,), needs=("@",)),
-    Target("phone", "Telephone and mobile numbers with their country codes.", (PHONE,)),
-    Target("address", "The person's postal address: street, town, region, postcode, country. Not the place of a firm or school."),
-    Target("social", "Profile links and handles on social, code and portfolio sites.", (SOCIAL,), needs=("/",)),
-    Target("url", "Web addresses that lead to the person.", URLS, needs=URL_SIGNS),
-    Target("photo", "A photograph of the person. Not a logo, an icon or a chart.", visual_only=True),
-    Target("signature", "A signature by hand.", visual_only=True),
-    Target("dob", "Date of birth or age.", (DOB,)),
-    Target("nationality", "Nationality, citizenship, visa status or country of origin of the person."),
-    Target("gender", "Gender, sex or pronouns of the person."),
-    Target("marital_status", "Marital status, partner and dependants."),
-    Target("employer", "Names of organisations the person worked for. Titles, dates and duties stay."),
-    Target("school", "Names of schools and universities attended. Degrees and dates stay."),
-    Target("reference", "Names and contact details of referees and other third parties."),
+    Target("name", "What the person is called, wherever it stands on the page."),
+    Target("email", "Electronic mail addresses.", (EMAIL,), needs=("@",)),
+    Target("phone", "Numbers at which the person can be called, with any prefix.", (PHONE,)),
+    Target("address", "Where the person lives, down to single parts of it that stand alone."),
+    Target("social", "Pages and handles that the person has on other sites.", (SOCIAL,), needs=("/",)),
+    Target("url", "Web addresses.", URLS, needs=URL_SIGNS),
+    Target("photo", "A picture of the person's face or figure.", visual_only=True),
+    Target("signature", "Handwriting with which the person signs.", visual_only=True),
+    Target("dob", "When the person was born, or how old they are.", (DOB,)),
+    Target("nationality", "Which state the person belongs to or comes from, and what allows them to work."),
+    Target("gender", "Words that tell the person's sex, such as a form of address."),
+    Target("marital_status", "Who the person lives with: spouse, children, single or not."),
+    Target("employer", "Which firms and bodies the person has worked at; what they did there is no part of it."),
+    Target("school", "Where the person was taught; what they learned there is no part of it."),
+    Target("reference", "Other people who vouch for the person, and how to reach them."),
 )
 BUILTIN = {t.id: t for t in _TARGETS}
 

@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,24 @@ def test_digits_inside_an_address_are_no_phone(spark):
     assert found(spark, "linkedin.com/feed/7123456789012345678 www.x.com/badges/1234567890", "phone") == []
 
 
+def test_many_matches_on_one_line(spark):
+    """Places and words of thousands of matches; twice as many take about twice as long."""
+    took = []
+    for n in (4000, 8000):
+        line = " ".join(f"a{i}@b.com" for i in range(n))
+        began = time.time()
+        got = detect_patterns(text_lines(spark.createDataFrame([(0, line)], "doc_id bigint, text string")), resolve_targets(["email", "phone", "url"])).filter("target = 'email'")
+        assert got.agg(F.count("*"), F.max("box.x")).first() == (n, 6.0 * line.rindex(" ") + 6)
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 5
+
+
+def test_documents_without_text_stay_in_the_audit(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a@example.com")], "doc_id bigint, text string")
+    r = redact(text_pages(docs), RedactOptions(("email",), mode="patterns-only", style="box"))
+    assert sorted((a["doc_id"], a["pages"], sum(a["detection_counts"].values())) for a in r.audit.collect()) == [(1, 1, 0), (2, 1, 0), (3, 1, 1)]
+
+
 def test_birth_dates(spark):
     assert [t for _, t in found(spark, "DOB: 1 Feb 1990", "dob")] == ["DOB: 1 Feb 1990"]
     assert found(spark, "éborn to run", "dob") == [("dob", "born to run")]
