@@ -64,27 +64,37 @@ DIGRAPHS = {"æ": "ae", "œ": "oe", "ß": "ss"}
 SUBSTITUTES = dict(zip("013457@$!|", "oieastasil", strict=True))
 INVISIBLE = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
 
-_UNSEEN = {c: "" for c in (*range(0x300, 0x370), *INVISIBLE)}
-_LETTERS = str.maketrans(_UNSEEN | {ord(a): b for odd, plain in LOOKALIKES.values() for a, b in zip(odd, plain, strict=True)})
-_PLAIN = _LETTERS | {ord(a): b for a, b in DIGRAPHS.items()}
-_SIGNS = str.maketrans(SUBSTITUTES)
+_UNSEEN = {chr(c): "" for c in (*range(0x300, 0x370), *INVISIBLE)}
+_LETTERS = _UNSEEN | {a: b for odd, plain in LOOKALIKES.values() for a, b in zip(odd, plain, strict=True)}
+_PLAIN = _LETTERS | DIGRAPHS
 _NO_LETTER = re.compile(r"[!|]{2,}|[!|](?![^\W_]|[@$])")
 _GAP = re.compile(r"[\W_]+")
 
 
+def _swapped(text: str, table: dict[str, str]) -> str:
+    """The text with the table's signs replaced. Few of them occur, so each that does is replaced on its own."""
+    for c in table.keys() & set(text):
+        text = text.replace(c, table[c])
+    return text
+
+
 def fold(text: str | None) -> str:
     """The folded text between single spaces, its accents kept."""
     low = (text or "").lower()
     if not low.isascii():
-        low = unicodedata.normalize("NFKC", low).lower().translate(_LETTERS)
-    return f" {_GAP.sub(' ', _NO_LETTER.sub(' ', low).translate(_SIGNS)).strip()} "
+        low = _swapped(unicodedata.normalize("NFKC", low).lower(), _LETTERS)
+    if "!" in low or "|" in low:
+        low = _NO_LETTER.sub(" ", low)
+    for sign, letter in SUBSTITUTES.items():
+        low = low.replace(sign, letter)
+    return f" {_GAP.sub(' ', low).strip()} "
 
 
 def readings(folded: str) -> tuple[str, ...]:
     """A folded text, and the same without accents where it has some."""
     if folded.isascii():
         return (folded,)
-    plain = unicodedata.normalize("NFKD", folded).translate(_PLAIN)
+    plain = _swapped(unicodedata.normalize("NFKD", folded), _PLAIN)
     return (folded, plain) if plain != folded else (folded,)
 
 
