@@ -82,7 +82,7 @@ def _worth(target: Target, text: Column) -> Column:
     """A cheap test that every line with a match passes."""
     worth = _has_one(text, target.needs) if target.needs else F.lit(True)
     if target.id == "phone" and target.patterns:
-        worth = worth & text.rlike("[0-9]{2}[^0-9]{0,3}[0-9]{2}")
+        worth = worth & _has_one(text, tuple("0123456789")) & text.rlike("[0-9]{2}[^0-9]{0,3}[0-9]{2}")
     if target.id == "email":
         worth = worth & text.rlike(r"[A-Za-z0-9._%+-]\s?@")
     return worth

@@ -366,22 +366,32 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "pages", F.array_join(F.transform(F.array_sort(F.map_entries("detection_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
 
 
+def _blank(docs: DataFrame) -> DataFrame:
+    """Pictures of all pages. Long lines are wrapped."""
+    return paint.blank_slots(text_layout.wrapped_pages(docs))
+
+
+def _regions(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What to cover on the wrapped pages, with the width and height of its page."""
+    regions = merge.merge_detections(patterns.detect_patterns(text_layout.text_lines(docs), resolve_targets(["email", "phone"])))
+    return text_layout.wrapped_boxes(regions, sizes)
+
+
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pictures of all pages, the regions to cover, and the sizes. Long lines are wrapped, in pictures and boxes alike."""
     docs = _table(spark, sf_dir, "documents")
-    lines = text_layout.text_lines(docs)
-    regions = merge.merge_detections(patterns.detect_patterns(lines, resolve_targets(["email", "phone"])))
     sizes = text_layout.wrapped_sizes(docs)
-    return paint.blank_pages(text_layout.wrapped_lines(lines, sizes), sizes), text_layout.wrapped_boxes(regions, sizes), sizes
+    return _blank(docs), _regions(docs, sizes).drop("width", "height"), sizes
 
 
 def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:
     """What painted pages show; how much of a region is black is told for boxes only."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        images, regions, sizes = _drawn(spark, sf_dir)
-        padded = merge.pad_detections(regions, 2.0, sizes)
-        found = paint.digests(paint.paint_pages(images, padded, style), padded)
+        docs = _table(spark, sf_dir, "documents")
+        regions = _regions(docs, text_layout.wrapped_sizes(docs))
+        padded = regions.withColumn("box", geo.padded(F.col("box"), 2.0, F.col("width"), F.col("height")))
+        found = paint.digests(paint.paint_pages(_blank(docs), padded, style, keep_boxes=True))
         return found if style == "box" else found.drop("black")
 
     return query
@@ -389,8 +399,7 @@ def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def grid_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under their grid: the size with its margin."""
-    images, _, _ = _drawn(spark, sf_dir)
-    png = paint.grid_overlays(images)
+    png = paint.grid_overlays(_blank(_table(spark, sf_dir, "documents")))
     size = lambda at: F.conv(F.hex(F.substring("image", at, 4)), 16, 10).cast("long")
     return png.select("doc_id", "page", size(17).alias("width"), size(21).alias("height"))
 
@@ -398,11 +407,8 @@ def grid_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents rebuilt from pixels, read again: their pages, and the text runs and links in them."""
     images, regions, _ = _drawn(spark, sf_dir)
-    pdfs = paint.build_pdfs(paint.paint_pages(images, regions, "box")).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("pdf").alias("content"))
-    sizes, runs, links, _ = files.pdf_layers(pdfs)
-    pages = sizes.select("doc_id", F.lit("pages").alias("what")).unionByName(runs.select("doc_id", F.lit("runs").alias("what"))).unionByName(links.select("doc_id", F.lit("links").alias("what")))
-    count = lambda what: F.count(F.when(F.col("what") == what, 1))
-    return pages.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(count("pages").alias("pages"), count("runs").alias("runs"), count("links").alias("links"))
+    pdfs = paint.build_pdfs(paint.paint_pages(images, regions, "box")).select("doc_id", F.col("pdf").alias("content"))
+    return files.pdf_counts(pdfs)
 
 
 def _own_pdf(key: int, name: str, segment: str) -> bytes:

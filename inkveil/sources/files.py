@@ -8,6 +8,7 @@ this library: pass one, a function from (bytes, dpi) to pages.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import struct
 import zlib
@@ -135,6 +136,24 @@ def pdf_layers(files: DataFrame, dpi: int = 150) -> tuple[DataFrame, DataFrame,
     return tuple(slim.mapInArrow(parsed(k), ddl[k]) for k in ("sizes", "runs", "links", "errors"))
 
 
+def pdf_counts(files: DataFrame) -> DataFrame:
+    """doc_id, pages, runs, links of PDFs that can be read: the rows of pdf_layers, counted in one reading."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                with contextlib.suppress(*BROKEN):
+                    pdf = Pdf(batch.column(1)[i].as_py())
+                    layers = [(pdf.frame(p), pdf.runs(p), pdf.links(p)) for p in pdf.pages]
+                    found.append((batch.column(0)[i].as_py(), len(layers), sum(len(runs) for _, runs, _ in layers), sum(len(links) for _, _, links in layers)))
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.types[0]), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "pages", "runs", "links"])
+
+    slim = files.filter(sniff(F.col("content")) == "pdf").select("doc_id", "content")
+    return slim.mapInArrow(told, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, pages long, runs long, links long")
+
+
 def _picture(doc_id: str, image: np.ndarray | None, error: str | None) -> pa.RecordBatch:
     h, w = image.shape[:2] if image is not None else (0, 0)
     none = pa.array([None], pa.float64())

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import box, union_all
-from inkveil.functions.text import leading, let, running, single_spaced
+from inkveil.functions.text import held, leading, let, running, single_spaced
 
 PITCH, LEADING, HEIGHT = 6, 14, 12
 PAGE_LINES = 60
@@ -41,10 +41,10 @@ def text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Documents without text have no lines.
     """
     slots = F.transform("slots", lambda x, i: F.struct(i.alias("slot"), x.alias("text")))
-    pages = _pages(df, id_col, text_col).select("doc_id", "page", F.filter(slots, lambda s: s["text"] != "").alias("lines"))
-    rows = pages.select("doc_id", "page", F.transform("lines", lambda s: word_count(s["text"])).alias("counts"), F.posexplode("lines").alias("i", "s"))
-    first = F.aggregate(F.slice("counts", 1, F.col("i")), F.lit(0), lambda a, n: a + n)
-    return rows.select("doc_id", "page", F.col("s.slot").alias("slot"), (F.col("i") + 1).alias("line_no"), F.col("s.text").alias("text"), first.alias("first"))
+    pages = held(_pages(df, id_col, text_col), lines=F.filter(slots, lambda s: s["text"] != "")).select("doc_id", "page", "lines")
+    firsts = running(F.transform("lines", lambda s: word_count(s["text"])))
+    rows = held(pages, lines=F.arrays_zip(F.col("lines.slot").alias("slot"), F.col("lines.text").alias("text"), firsts.alias("first")))
+    return rows.select("doc_id", "page", F.posexplode("lines").alias("i", "s")).select("doc_id", "page", F.col("s.slot").alias("slot"), (F.col("i") + 1).alias("line_no"), F.col("s.text").alias("text"), F.col("s.first").alias("first"))
 
 
 def mono_box(slot: Column, start: Column, length: Column) -> Column:
@@ -117,23 +117,26 @@ def wrapped_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def wrapped_lines(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """doc_id, page, slot, text of the rows that the lines are wrapped into; slot is the row on the page."""
-    met = lines.join(sizes.select("doc_id", "page", "tops"), ["doc_id", "page"])
-    parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / WRAP).cast("int"))
-    rows = met.select("doc_id", "page", F.get("tops", F.col("slot")).alias("top"), "text", F.explode(parts).alias("k"))
-    return rows.select("doc_id", "page", (F.col("top") + F.col("k")).alias("slot"), F.substring("text", F.col("k") * WRAP + 1, F.lit(WRAP)).alias("text"))
+def wrapped_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """wrapped_sizes with rows: the text of the page's rows from the top, blank ones too. A line's rows stand where its slot's top says."""
+    pages = held(_pages(df, id_col, text_col), slots=F.col("slots"))
+    wrap = lambda x: F.when(F.length(x) <= WRAP, F.array(x)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / WRAP).cast("int")), lambda k: F.substring(x, k * WRAP + 1, F.lit(WRAP))))
+    rows = held(pages, rows=F.flatten(F.transform("slots", wrap))).select("doc_id", "page", "rows")
+    return rows.select(
+        "doc_id", "page", F.greatest(F.lit(PAGE_WIDTH), F.array_max(F.transform("rows", lambda x: F.length(x))) * PITCH).cast("double").alias("width"),
+        F.greatest(F.lit(PAGE_HEIGHT), F.size("rows") * LEADING).cast("double").alias("height"), "rows",
+    )
 
 
 def wrapped_boxes(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """regions of single lines moved to the wrapped page; one that runs over a row's end becomes a box on each row."""
-    met = regions.join(sizes.select("doc_id", "page", "tops"), ["doc_id", "page"])
+    """regions of single lines moved to the wrapped page; one that runs over a row's end becomes a box on each row. Keeps the page's width and height beside them."""
+    met = regions.join(sizes.select("doc_id", "page", "width", "height", "tops"), ["doc_id", "page"])
     row, x, right = WRAP * PITCH, F.col("box.x"), F.col("box.x") + F.col("box.width")
     parts = F.sequence(F.floor(x / row), F.ceil(right / row) - 1)
     met = met.withColumn("top", F.get("tops", F.floor(F.col("box.y") / LEADING).cast("int"))).withColumn("k", F.explode(parts))
     left = F.greatest(x - F.col("k") * row, F.lit(0.0))
     place = box(left, (F.col("top") + F.col("k")) * LEADING, F.least(right - F.col("k") * row, F.lit(float(row))) - left, F.col("box.height"))
-    return met.withColumn("box", place).select(*regions.columns)
+    return met.withColumn("box", place).select(*regions.columns, "width", "height")
 
 
 #: An anchor with its target, and any other tag.

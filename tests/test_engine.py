@@ -2,6 +2,7 @@
 
 import json
 import re
+import struct
 import time
 
 import numpy as np
@@ -339,6 +340,43 @@ def test_overlay_has_a_margin_and_lines():
     assert out.shape == (420, 300, 3) and tuple(out[0, 0]) == raster.MARGIN and (out[30:390, 30] != 255).any()
 
 
+@pytest.mark.parametrize("greys", [1, 2, 3, 5, 17, 256])
+def test_greys_are_stored_in_few_bits(greys):
+    rng = np.random.default_rng(greys)
+    for width in (1, 3, 8, 13):
+        rows = rng.integers(0, greys, (9, width), dtype=np.uint8)
+        image = np.repeat(rows, 4, axis=0)
+        png = raster.encode_png(image)
+        assert (raster.read_png(png) == image).all() and (raster.decode_png(png) == image[..., None]).all()
+        assert png[24] <= {1: 1, 2: 1, 3: 2, 5: 4}.get(greys, 8)
+
+
+@pytest.mark.parametrize("style", ["box", "label", "pixelate", "blur"])
+def test_greys_are_covered_like_colours(style):
+    grey = np.random.default_rng(5).choice(np.array([40, 255], np.uint8), (90, 200))
+    boxes = [(20.2, 30.0, 100.0, 24.5, "email"), (150, 70, 90, 40, "phone")]
+    assert (raster.painted(grey, boxes, style)[..., None] == raster.painted(np.repeat(grey[..., None], 3, axis=2), boxes, style)).all()
+
+
+@pytest.mark.parametrize("shape", [(840, 612, 24, 36), (40, 30, 24, 36), (5, 7, 24, 36), (1500, 1000, 3, 4), (64, 64, 100, 100)])
+def test_overlays_of_greys_are_those_of_colours(shape):
+    height, width, cols, rows = shape
+    grey = np.random.default_rng(6).choice(np.array([40, 255], np.uint8), (height, width))
+    few, full = (raster.overlay(x, cols, rows, 0.35, chr) for x in (grey, np.repeat(grey[..., None], 3, axis=2)))
+    assert (raster.decode_png(raster.encode_png(few)) == full).all()
+
+
+def test_pages_in_a_pdf_keep_their_pixels():
+    grey = np.random.default_rng(7).choice(np.array([0, 40, 255], np.uint8), (30, 21))
+    pdf = raster.raster_pdf([(grey, 21.0, 30.0)])
+    at = pdf.index(b"/Subtype/Image")
+    data = pdf[pdf.index(b"stream\n", at) + 7 : pdf.index(b"\nendstream", at)]
+    head = struct.pack(">IIBBBBB", 21, 30, 2, 3, 0, 0, 0)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"0000"
+    assert b"/Indexed/DeviceRGB 2<0000002828" in pdf and b"/Predictor 15/Colors 1/BitsPerComponent 2/Columns 21" in pdf and SimplePages(pdf) == 1
+    assert (raster.read_png(raster.PNG_MAGIC + chunk(b"IHDR", head) + chunk(b"PLTE", bytes([0, 0, 0, 40, 40, 40, 255, 255, 255])) + chunk(b"IDAT", data)) == grey).all()
+
+
 def test_stream_finds_what_a_table_does(spark, tmp_path):
     spark.createDataFrame([(0, SAMPLE), (1, "nothing")], "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
     query = redact_stream(read_stream(spark, str(tmp_path / "in")), ["email", "phone"], str(tmp_path / "out"), str(tmp_path / "state"))

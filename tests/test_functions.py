@@ -17,6 +17,7 @@ from inkveil.operators.layout import line_numbers
 from inkveil.operators.model_vision import label_of
 from inkveil.providers import strict_schema
 from inkveil.sources.tables import partitions, plain_scan
+from inkveil.sources.text_layout import text_lines
 from inkveil.targets import BARE_ENDINGS, BUILTIN, DOB, EDGE, EMAIL, PHONE, SOCIAL, URL_BARE, URL_PATH, URLS, Target, builtin_target_ids, resolve_targets
 
 SLOW = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -192,3 +193,17 @@ def test_strict_schema():
         "type": "object", "required": ["a", "format"], "additionalProperties": False,
         "properties": {"a": {"type": "string"}, "format": {"type": ["integer", "null"]}},
     }
+
+
+def test_lines_with_odd_blanks_are_single_spaced(spark):
+    texts = ["a b", " a  b ", "a\tb", "a\u00a0b", "a \u2009b", "\u2019a b\u2019", "\u3000", "\ufeffa", "a\x0bb\x0c", "\u00e9 \u1680b\u205f", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(single_spaced(F.col("t"))).collect()]
+    assert got == ["a b", "a b", "a b", "a b", "a b", "\u2019a b\u2019", "", "a", "a b", "\u00e9 b", ""]
+
+
+def test_lines_are_counted_once_a_page(spark):
+    words = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a b\n\nc\nd e f\n" + "g h\n" * 60).alias("text"))
+    plan = text_lines(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the document into lines, and each line once into words
+    got = [(r["page"], r["slot"], r["line_no"], r["first"]) for r in text_lines(words).orderBy("page", "slot").collect()]
+    assert got[:4] == [(0, 0, 1, 0), (0, 2, 2, 2), (0, 3, 3, 3), (0, 4, 4, 6)] and got[59:61] == [(1, 0, 1, 0), (1, 1, 2, 2)]
