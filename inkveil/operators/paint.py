@@ -73,16 +73,18 @@ def _portions(items: Iterable, size: Callable[[Any], int]) -> Iterator[tuple[int
         yield start, some
 
 
-def _bars(rows: list[tuple[int, str]], width: int, height: int) -> np.ndarray:
-    """Greys of a fixed-pitch page: (place, text) of its rows as one dark bar a word."""
-    tall, wide = max(height, max((14 * slot + 14 for slot, _ in rows), default=0)), -(-width // 6)
-    image = np.full((tall, width), 255, np.uint8)
+def _bars(rows: list[tuple[int, str]], width: int, height: int) -> raster.Rows:
+    """Greys of a fixed-pitch page: (place, text) of its rows as one dark bar a word, on white, the first of the rows."""
+    wide = -(-width // 6)
+    place = np.zeros(max(height, max((14 * slot + 14 for slot, _ in rows), default=0)), int)
+    lines = np.full((len(rows) + 1, width), 255, np.uint8)
     if rows and wide:
         signs = np.frombuffer("".join(text[:wide].ljust(wide) for _, text in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), wide)
         ink = np.repeat(np.where(signs != 32, np.uint8(40), np.uint8(255)), 6, axis=1)
         ink[:, 5::6] = 255
-        image[np.array([14 * slot for slot, _ in rows])[:, None] + np.arange(2, 10)] = ink[:, None, :width]
-    return image[:height]
+        lines[1:] = ink[:, :width]
+        place[np.array([14 * slot for slot, _ in rows])[:, None] + np.arange(2, 10)] = np.arange(1, len(rows) + 1)[:, None]
+    return raster.Rows(lines, place[:height])
 
 
 def paint_pages(pages: DataFrame, regions: DataFrame, style: str = "blur", keep_boxes: bool = False) -> DataFrame:
@@ -97,7 +99,9 @@ def paint_pages(pages: DataFrame, regions: DataFrame, style: str = "blur", keep_
     names = out.columns
 
     def covered(png: bytes, boxes: list[dict] | None) -> bytes:
-        spots = [(b["x"], b["y"], b["width"], b["height"], b["target"]) for b in boxes or ()]
+        if not boxes:
+            return raster.encode_png(raster.read_rows(png))
+        spots = [(b["x"], b["y"], b["width"], b["height"], b["target"]) for b in boxes]
         return raster.encode_png(raster.painted(raster.read_png(png), spots, style))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +121,16 @@ def digests(pages: DataFrame) -> DataFrame:
     met = pages.select("doc_id", "page", "image", "boxes")
 
     def shown(png: bytes, boxes: list[dict] | None) -> tuple[int, int, int, int, int]:
-        image = raster.read_png(png)
+        image = raster.read_rows(png)
+        if isinstance(image, raster.Rows):
+            if not boxes:
+                dark = np.count_nonzero(image.rows < 128, axis=1)
+                return image.rows.shape[1], len(image.place), 0, 0, int(dark[image.place].sum())
+            image = image.pixels()
         most = image if image.ndim == 2 else image.max(axis=2)
         dark = most < 128
-        if not boxes:
-            return image.shape[1], image.shape[0], 0, 0, int(np.count_nonzero(dark))
         inside = np.zeros(most.shape, bool)
-        for b in boxes:
+        for b in boxes or ():
             inside[max(0, int(np.floor(b["y"]))) : int(np.ceil(b["y"] + b["height"])), max(0, int(np.floor(b["x"]))) : int(np.ceil(b["x"] + b["width"]))] = True
         return image.shape[1], image.shape[0], int(np.count_nonzero(inside)), int(np.count_nonzero(inside & (most == 0))), int(np.count_nonzero(dark & ~inside))
 
@@ -164,8 +171,9 @@ def build_pdfs(pages: DataFrame, dpi: int = 150) -> DataFrame:
         def bound(doc: pa.Scalar) -> bytes:
             drawn = []
             for p in doc.as_py():
-                image = raster.read_png(p["image"])
-                drawn.append((image, p["point_width"] or image.shape[1] * POINTS_PER_INCH / dpi, p["point_height"] or image.shape[0] * POINTS_PER_INCH / dpi))
+                image = raster.read_rows(p["image"])
+                width, height = raster.png_size(p["image"])
+                drawn.append((image, p["point_width"] or width * POINTS_PER_INCH / dpi, p["point_height"] or height * POINTS_PER_INCH / dpi))
             return raster.raster_pdf(drawn)
 
         for batch in batches:
