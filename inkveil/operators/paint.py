@@ -148,7 +148,7 @@ def grid_overlays(pages: DataFrame, grid: GridOptions = GridOptions()) -> DataFr
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            images = (raster.encode_png(raster.overlay(raster.read_png(png.as_py()), grid.cols, grid.rows, grid.opacity, label_of)) for png in batch.column(2))
+            images = (raster.encode_png(raster.overlay(raster.read_rows(png.as_py()), grid.cols, grid.rows, grid.opacity, label_of)) for png in batch.column(2))
             for start, some in _portions(images, len):
                 part = batch.slice(start, len(some))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(some, pa.binary())], names=["doc_id", "page", "image"])

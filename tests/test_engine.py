@@ -366,6 +366,35 @@ def test_overlays_of_greys_are_those_of_colours(shape):
     assert (raster.decode_png(raster.encode_png(few)) == full).all()
 
 
+def page_of_words(height, width, lines=4, seed=8):
+    """A page as it is read again: lines of words at its top, the rest blank."""
+    rng = np.random.default_rng(seed)
+    rows = np.concatenate([np.full((1, width), 255, np.uint8), rng.choice(np.array([40, 255], np.uint8), (lines, width))])
+    place = np.zeros(height, int)
+    for n in range(lines):
+        place[14 * n + 2 : 14 * n + 10] = n + 1
+    return raster.read_rows(raster.encode_png(raster.Rows(rows, place)))
+
+
+@pytest.mark.parametrize("shape", [(840, 1200), (840, 612), (200, 75), (70, 8), (3000, 601)])
+def test_overlays_of_rows_are_those_of_pixels(shape):
+    page = page_of_words(*shape)
+    calm = raster._calm.cache_info()
+    few, again = (raster.overlay(page, 24, 36, 0.35, chr) for _ in range(2))
+    full = raster.overlay(np.repeat(page.pixels()[..., None], 3, axis=2), 24, 36, 0.35, chr)
+    assert (raster.decode_png(raster.encode_png(few)) == full).all() and raster.encode_png(few) == raster.encode_png(again)
+    blank = sum(isinstance(b, raster.Part) for b in few.bands)  # bands without words are deflated once for all pages of a size
+    assert raster._calm.cache_info().misses - calm.misses <= blank <= raster._calm.cache_info().hits - calm.hits and blank >= (shape[0] - 120) // 64
+
+
+def test_overlays_of_pages_with_blanks_between_words():
+    rows = np.array([[255] * 90, [40, 255] * 45, [40] * 90], np.uint8)
+    for place in ([0] * 300 + [1] * 8 + [0] * 300, [1] * 8 + [2] * 400, [1] * 300, [0] * 300):
+        page = raster.Rows(rows, np.array(place))
+        few, full = (raster.overlay(x, 5, 7, 0.35, chr) for x in (page, np.repeat(page.pixels()[..., None], 3, axis=2)))
+        assert (raster.decode_png(raster.encode_png(few)) == full).all()
+
+
 def test_pages_in_a_pdf_keep_their_pixels():
     grey = np.random.default_rng(7).choice(np.array([0, 40, 255], np.uint8), (30, 21))
     pdf = raster.raster_pdf([(grey, 21.0, 30.0)])
