@@ -99,10 +99,10 @@ def paint_pages(pages: DataFrame, regions: DataFrame, style: str = "blur", keep_
     names = out.columns
 
     def covered(png: bytes, boxes: list[dict] | None) -> bytes:
-        if not boxes:
-            return raster.encode_png(raster.read_rows(png))
-        spots = [(b["x"], b["y"], b["width"], b["height"], b["target"]) for b in boxes]
-        return raster.encode_png(raster.painted(raster.read_png(png), spots, style))
+        image = raster.read_rows(png)
+        if boxes:
+            image = raster.painted(image, [(b["x"], b["y"], b["width"], b["height"], b["target"]) for b in boxes], style)
+        return raster.encode_png(image)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -358,6 +358,19 @@ def test_greys_are_covered_like_colours(style):
     assert (raster.painted(grey, boxes, style)[..., None] == raster.painted(np.repeat(grey[..., None], 3, axis=2), boxes, style)).all()
 
 
+@pytest.mark.parametrize("style", ["box", "label", "pixelate", "blur"])
+def test_rows_are_covered_like_pixels(style):
+    page = page_of_words(600, 300, 30)
+    near = [(20.2, 30.0, 100.0, 24.5, "email"), (60.0, 60.5, 90.0, 12.0, "phone"), (90.0, 41.0, 90.0, 40.0, "email")]
+    for boxes in ([], near, near[::-1], [(-9.0, -9.0, 80.0, 20.0, "email"), (250.0, 590.0, 90.0, 40.0, "phone"), *near], [(400.0, 0.0, 5.0, 5.0, "url")], [(0.0, 0.0, 300.0, 600.0, "url")]):
+        covered = raster.painted(page, boxes, style)
+        plain = raster.painted(page.pixels(), boxes, style)
+        assert isinstance(covered, raster.Rows) and (covered.pixels() == plain).all()
+        assert (raster.read_png(raster.encode_png(covered)) == plain).all()
+    few = raster.painted(page, near[:1], style)
+    assert len(few.rows) - len(page.rows) <= 26 + 4 * 8  # only rows in reach of the box are looked at anew
+
+
 @pytest.mark.parametrize("shape", [(840, 612, 24, 36), (40, 30, 24, 36), (5, 7, 24, 36), (1500, 1000, 3, 4), (64, 64, 100, 100)])
 def test_overlays_of_greys_are_those_of_colours(shape):
     height, width, cols, rows = shape
