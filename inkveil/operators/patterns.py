@@ -88,6 +88,18 @@ def _worth(target: Target, text: Column) -> Column:
     return worth
 
 
+def may_match(text: Column, targets: list[Target]) -> Column:
+    """A cheap test that every text with a match in one of its lines passes, before it is cut into lines. Any run of blanks may be one space there."""
+
+    def one(target: Target) -> Column:
+        worth = _has_one(text, target.needs) if target.needs else F.lit(True)
+        if target.id == "phone":
+            worth = worth & text.rlike(f"[0-9]{{2}}(?:[{BLANK}]++|[^0-9{BLANK}]){{0,3}}[0-9]{{2}}")
+        return worth
+
+    return reduce(or_, [one(t) for t in targets if t.patterns], F.lit(False))
+
+
 def _hits(target: Target, n: int, k: int, found: Column, guarded: bool) -> Column:
     """What its guard lets through of the matches of pattern k of the n-th target: array of (seq, target, start, raw)."""
 

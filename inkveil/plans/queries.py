@@ -371,17 +371,19 @@ def _blank(docs: DataFrame) -> DataFrame:
     return paint.blank_slots(text_layout.wrapped_pages(docs))
 
 
-def _regions(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """What to cover on the wrapped pages, with the width and height of its page."""
-    regions = merge.merge_detections(patterns.detect_patterns(text_layout.text_lines(docs), resolve_targets(["email", "phone"])))
-    return text_layout.wrapped_boxes(regions, sizes)
+def _regions(docs: DataFrame) -> DataFrame:
+    """What to cover on the wrapped pages, with the width and height of its page. Only documents that may have a match are laid out for it."""
+    targets = resolve_targets(["email", "phone"])
+    some = docs.filter(patterns.may_match(F.col("text"), targets))
+    regions = merge.merge_detections(patterns.detect_patterns(text_layout.text_lines(some), targets))
+    return text_layout.wrapped_boxes(regions, text_layout.wrapped_sizes(some))
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pictures of all pages, the regions to cover, and the sizes. Long lines are wrapped, in pictures and boxes alike."""
     docs = _table(spark, sf_dir, "documents")
     sizes = text_layout.wrapped_sizes(docs)
-    return _blank(docs), _regions(docs, sizes).drop("width", "height"), sizes
+    return _blank(docs), _regions(docs).drop("width", "height"), sizes
 
 
 def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -389,7 +391,7 @@ def _paint(style: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents")
-        regions = _regions(docs, text_layout.wrapped_sizes(docs))
+        regions = _regions(docs)
         padded = regions.withColumn("box", geo.padded(F.col("box"), 2.0, F.col("width"), F.col("height")))
         found = paint.digests(paint.paint_pages(_blank(docs), padded, style, keep_boxes=True))
         return found if style == "box" else found.drop("black")

@@ -14,7 +14,7 @@ from inkveil.functions import raster
 from inkveil.operators import merge, paint
 from inkveil.operators.layout import build_lines
 from inkveil.operators.model_text import text_requests
-from inkveil.operators.patterns import detect_patterns
+from inkveil.operators.patterns import detect_patterns, may_match
 from inkveil.operators.prompts import TEXT_SYSTEM
 from inkveil.options import GridOptions, RedactOptions
 from inkveil.plans import oracle, queries
@@ -459,6 +459,19 @@ def test_pages_without_regions_are_drawn(spark, tmp_path):
         assert queries.queries()[name](spark, str(tmp_path)).count() == n
 
 
+def test_only_documents_that_may_match_are_laid_out_for_regions(spark):
+    targets = resolve_targets(["email", "phone"])
+    plain = ["no sign of either", "", None, "year 202", "a 1 b 2 c 3", "one 12 and far from 34", "12 words stand between 34"]
+    odd = ["a@example.com", "a \u00a0\t @ example.com", "call 12 \u3000\u2003\t  34 56 78 90", "tel +1 (22) 333", "phone 98765 \r\u00a0 43210", "987654321", "x\ncall 12-34-56-78", "at\n\n@", "98.765.432.10"]
+    df = spark.createDataFrame(list(enumerate(plain + odd)), "doc_id bigint, text string")
+    some = df.filter(may_match(F.col("text"), targets))
+    assert {r["doc_id"] for r in some.collect()} == set(range(len(plain), len(plain) + len(odd)))
+    every, few = (sorted(map(str, detect_patterns(text_lines(x), targets).collect())) for x in (df, some))
+    assert every == few and len(every) >= 6
+    plan = queries._regions(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9]{2}(?:[") >= 2  # before the lines and before the sizes
+
+
 def test_addresses_without_a_dot(spark, tmp_path):
     assert found(spark, "see http://intranet/~jane and http://localhost:8080/cv", "url") == [("url", "http://intranet/~jane"), ("url", "http://localhost:8080/cv")]
     assert found(spark, "http://intranet/987654321012 or 987654321013", "phone") == [("phone", "987654321013")]
