@@ -408,13 +408,13 @@ class LibraryIds:
         plain = [x for x in runs if not ("<|" in x or "\x00" in x)] if alone else runs
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
-            ids = tokenizer.encode(" \x00 ".join(part), add_special_tokens=False).ids
-            begin = 0
+            ids = tokenizer.encode_batch_fast([" \x00 ".join(part)], add_special_tokens=False)[0].ids  # without places in the text
+            data, begin = array("I", ids).tobytes(), 0
             for x in part[:-1]:
                 end = ids.index(self.mark_id, begin)
-                yield x, array("I", ids[begin:end]).tobytes()
+                yield x, data[4 * begin : 4 * end]
                 begin = end + 1
-            yield part[-1], array("I", ids[begin:]).tobytes()
+            yield part[-1], data[4 * begin :]
         for x in alone:
             yield x, array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
 
@@ -446,18 +446,21 @@ class LibraryIds:
         if long:  # runs that the library would hold whole
             rest = iter(self.encode([t for k, t in enumerate(texts) if k not in long]))
             return [array("I", chain.from_iterable(self.own.encode_stream(t))) if k in long else next(rest) for k, t in enumerate(texts)]
-        runs = [[x for block in self.own.blocks(t or "") for x in block] for t in texts]
+        runs = [blocks[0] if len(blocks) == 1 else [*chain.from_iterable(blocks)] for blocks in ([*self.own.blocks(t or "")] for t in texts)]
         every = set(chain.from_iterable(runs))
         new = every.difference(self.memo)
         if len(self.memo) + 2 * len(new) > LIBRARY_MEMO:
             self.memo.clear()
             new = every
         once = self._learn(new) if new else {}
+        self.memo.update(once)  # long runs are in the memo for this batch only
         out = []
         for r in runs:
             ids = array("I")
-            ids.frombytes(b"".join([self.memo.get(x) if x in self.memo else once[x] for x in r] if once else map(self.memo.__getitem__, r)))
+            ids.frombytes(b"".join(map(self.memo.__getitem__, r)))
             out.append(ids)
+        for x in once:
+            del self.memo[x]
         return out
 
 

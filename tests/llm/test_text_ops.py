@@ -87,6 +87,24 @@ def test_lines_fail_one_by_one(spark):
     assert quality_rules.clean(sized).first() == (1, "This stays.", 11)
 
 
+def test_a_long_run_does_not_slow_its_batch():
+    class Memo(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    own = bpe.LibraryIds(tokenizer_path())
+    own.memo = Memo()
+    long = ["x" * 49, "Bücher" * 20 + "!", "<|" + "y\x00" * 30, "z" * 48]
+    texts = ["some words, again and again " * 500, None, f"{long[0]} {long[1]} twice {long[0]}", f"{long[2]} {long[3]}"]
+    want = [own.own.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [list(ids) for ids in own.encode(texts)] == want
+    assert own.memo.asked < 100 and not own.memo.keys() & set(long[:3]) and long[3] in own.memo
+
+
 def test_rules_stay_in_the_jvm(spark):
     plan = quality_rules.quality(table(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
