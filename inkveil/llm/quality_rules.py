@@ -13,7 +13,8 @@ Everything is an expression over one row, so there is no shuffle and no group.
 Repeated windows are found without comparing all pairs: the windows' hashes are
 counted as a set first, and only texts that do repeat sort (hash, place) pairs
 and look at neighbours. Two windows count as equal when their 64-bit XXH64 of
-the five words, each with its end, are.
+the five words' own XXH64 are. Of a line's rules those that cost a regular
+expression at each sign run only where a cheaper test leaves them a chance.
 
 Defined cases: null and blank texts have no words and fail the base rule; a text
 of any length is judged whole, as one row; rows that repeat are judged alike; an
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +53,10 @@ SENTENCE_END = r'[.!?…:;。！？]["\x27”’»)\]]*[\x20\x09-\x0D]*\z'
 #: A web address's beginning, and a copyright mark with its year.
 ADDRESS = r"(?:https?://|www[.])"
 COPYRIGHT = r"(?:©|[(]c[)]|copyright) *(?:19|20)[0-9][0-9]"
+#: Characters of a line's end that are asked for that first.
+TAIL = 32
+#: What stands between the entries of navigation.
+BARS = ("|", ">", "»", "•", "·")
 #: Phrases that mark a boilerplate line, compared in lower case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use",
@@ -73,9 +80,12 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _windows(words: Column, n: Column, size: int) -> Column:
-    """Hashes of all windows of size words; each word is hashed with its length in mind, so their ends are unambiguous."""
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(size)]))
+    """Hashes of all windows of size words; each word is hashed once and by itself, so their ends are unambiguous."""
+
+    def from_each(own: Column) -> Column:
+        return F.transform(F.slice(own, 1, F.greatest(n - (size - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(own, i + k) for k in range(1, size)]))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), from_each)
 
 
 def _repeat_words(hashes: Column, size: int) -> Column:
@@ -84,13 +94,13 @@ def _repeat_words(hashes: Column, size: int) -> Column:
     def places(pairs: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(pairs, k)["h"] == x["h"], F.lit(False))
         twice = F.filter(pairs, lambda x, k: same(x, k - 1) | same(x, k + 1))
-        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         gaps = F.transform(at, lambda x, k: F.least(F.lit(size), F.coalesce(F.get(at, k + 1) - x, F.lit(size))))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     repeats = F.size(hashes) > F.size(F.array_distinct(hashes))
     return F.when(repeats, let(pairs, lambda p: let(places(p), covered))).otherwise(F.lit(0))
 
@@ -153,16 +163,22 @@ def _line_ok(line: Column, rules: LineRules) -> Column:
     the one before, and boilerplate by a mark in a line too short to be prose
     that quotes it.
     """
-    sentence = line.rlike(r"[\p{L}\p{N}]") & line.rlike(SENTENCE_END)
+    some = lambda *signs: reduce(or_, [F.contains(line, F.lit(s)) for s in signs])
+    ends = F.right(line, F.lit(TAIL)).rlike(SENTENCE_END) | line.rlike(SENTENCE_END)  # the whole line only where its end is no answer
+    sentence = line.rlike(r"[\p{L}\p{N}]") & ends
     signs = F.regexp_count(line, F.lit(r"[#*$%&|<>]"))
     marked = signs > rules.max_symbol_share * F.length(line)
-    words = F.regexp_count(line, F.lit(f"[^{BLANK}]+"))
-    bars = F.regexp_count(line, F.lit(r"[|>»•·]"))
+    bars = F.regexp_count(line, F.lit(f"[{''.join(BARS)}]"))
     addresses = F.regexp_count(line, F.lit(ADDRESS))
-    navigation = ((bars >= 3) & (4 * bars >= words)) | ((addresses > 0) & (4 * addresses >= words))
-    stutter = F.regexp_count(line, F.lit(rf"(?<![^{BLANK}])([^{BLANK}]+)[{BLANK}]+(?=\1(?![^{BLANK}]))"))
+    stutter = F.regexp_count(line, F.lit(rf"(?<![^{BLANK}])([^{BLANK}]++)[{BLANK}]++(?=\1(?![^{BLANK}]))"))
     boiler = F.lower(line).rlike("|".join((*BOILERPLATE, COPYRIGHT)))
-    return sentence & ~(marked | navigation | ((words >= 5) & (stutter > rules.max_stutter_share * words)) | (boiler & (words < 30)))
+
+    def passes(words: Column) -> Column:
+        listed = some(*BARS) & let(bars, lambda n: (n >= 3) & (4 * n >= words))
+        linked = some("http", "www.") & let(addresses, lambda n: (n > 0) & (4 * n >= words))
+        return ~(listed | linked | ((words < 30) & boiler) | ((words >= 5) & (stutter > rules.max_stutter_share * words)))
+
+    return sentence & ~marked & let(F.regexp_count(line, F.lit(f"[^{BLANK}]+")), passes)
 
 
 #: DuckDB: the same counts with windows as word lists, and the line rules as expressions.

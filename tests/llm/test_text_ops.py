@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -87,6 +88,35 @@ def test_lines_fail_one_by_one(spark):
     assert quality_rules.clean(sized).first() == (1, "This stays.", 11)
 
 
+def test_line_ends_are_judged_whole(spark):
+    tails = ["\"", "\"" * 31, "\"" * 32, "’" * 40 + " " * 40, " " * 31, "\t" * 500, ")" * 200 + " x", "x" * 32, ""]
+    lines = [x + sign + tail for x in ("These are words of some line", "短い文です") for sign in (".", "…", "") for tail in tails]
+    lines += ["a b http c d e f g h.", "see www.a.b now.", "so | so > so • so.", "x x x x x y.", "xx x x xx x xx x.", "ab  a ab ab\t ab ab b."]
+    got = {r["doc_id"]: r["text"] for r in quality_rules.clean(table(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: x if line_passes(x) else "" for i, x in enumerate(lines)} and 10 < sum(map(bool, got.values())) < len(lines) - 10
+
+
+def test_rules_cost_little_beside_a_split(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 10))) for _ in range(3000)]
+    rows = [(i, "\n".join(" ".join(rng.choices(names, k=60)) + "." for _ in range(60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1).selectExpr("*", "explode(sequence(1, 6)) AS copy").cache()
+    assert df.count() == 240
+
+    def cost(out):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            out.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    split = cost(df.select(F.size(quality_rules.words_of(F.col("text")))))
+    ratio = cost(quality_rules.quality(df)) / split
+    df.unpersist()
+    assert ratio < 12, ratio
+
+
 def test_a_long_run_does_not_slow_its_batch():
     class Memo(dict):
         asked = 0
